@@ -115,9 +115,9 @@ def keep_one_per_group(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the component_id of their group; all columns stay.
 
     Rows without a doc_id stay (nothing says which of them to prefer). Rows that repeat a kept
-    doc_id with a text of the same group are reduced to one.
+    doc_id and its text are reduced to one.
     """
     groups = simhash_groups(documents)
     kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct())
     same = documents.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return same.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    return same.dropDuplicates(["doc_id", "text"]).unionByName(documents.where("doc_id is null"))
