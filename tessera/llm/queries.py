@@ -5,8 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import new_path, table
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("example_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import SHARDS, read_shards, row_size, shard_of, write_shards
+
+    path = new_path(spark)
+    write_shards(table(spark, sf_dir, "documents"), path)
+    return read_shards(spark, path).select(
+        "doc_id",
+        row_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        shard_of("doc_id", SHARDS + 1).alias("grown_shard"),
+    )
+
+
+def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.token_store import read_store, write_store
+
+    path = new_path(spark)
+    write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2, drops_space=True)
+    return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
