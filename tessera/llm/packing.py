@@ -148,7 +148,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
-            ids = [encode.encode(x.as_py()) + end for x in batch.column(2)]
+            ids = [x + end for x in encode.encode(batch.column(2).to_pylist())]
             zeros = pa.array(np.zeros(len(ids), np.int64))
             width = pa.array(np.full(len(ids), encode.dtype.itemsize, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), width, zeros], ["block", "example_id", "ids", "width", "loss_from"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -12,8 +13,10 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: ASCII punctuation and the letters of ASCII and Latin-1: between them, too, a pre-token ends.
 PUNCTUATION = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Entries of the memo, some 180 bytes each; a full memo is emptied.
-MEMO_ENTRIES = 600_000
+#: Entries of the memo, some 180 bytes each. It has two halves; when the newer one is full, the
+#: older one is forgotten.
+MEMO_ENTRIES = 1_200_000
+TEXTS_AT_ONCE = 64
 
 _encoders: dict[tuple[str, bool], MemoEncoder] = {}
 
@@ -34,31 +37,69 @@ class MemoEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         space, other, word = f"[{WHITE_SPACE}]", f"[^{WHITE_SPACE}]", f"[{LETTERS}]++(?=[{PUNCTUATION}])"
         pattern = f"{word}|{other}++" if drops_space else f"{space}*+{word}|{space}*+{other}++|{space}++"
         self.stretches = re.compile(pattern).findall
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # one pre-token whose ends show in its ids, so that many can be encoded in one text
+        self.plain = re.compile(f"{'' if drops_space else ' '}[{LETTERS}]+").fullmatch
+        self.glue = " " if drops_space else ""
+        pieces = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(pieces.values()) + 1, bool)
+        self.edge_is_last = drops_space
+        for piece, i in pieces.items():
+            self.edge[i] = piece.endswith("</w>") if drops_space else piece.startswith("\u0120")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian numbers of ``self.dtype``; none for null or empty text."""
-        if not text:
-            return b""
-        if any(x in text for x in self.added):
-            return self._library([text])[0]
-        stretches = self.stretches(text)
-        found = list(map(self.memo.get, stretches))
-        if None in found:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            new = list(dict.fromkeys(x for x in stretches if x not in self.memo))
-            self.memo.update(zip(new, self._library(new), strict=True))
-            found = map(self.memo.__getitem__, stretches)
-        return b"".join(found)
+    def _learn(self, stretches: list[str]) -> None:
+        """Puts stretches into the memo, from the older one or by the library."""
+        new = []
+        for x in stretches:
+            if (ids := self.older.get(x)) is None:
+                new.append(x)
+            else:
+                self.memo[x] = ids
+        plain = [x for x in new if self.plain(x)]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) == len(plain):
+                ends = edges + 1 if self.edge_is_last else np.append(edges[1:], len(ids))
+                raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                self.memo.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.memo.update(zip(plain, self._library(plain), strict=True))
+        other = [x for x in new if x not in self.memo]
+        if other:
+            self.memo.update(zip(other, self._library(other), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian numbers of ``self.dtype``; none for null or empty."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            part = texts[at : at + TEXTS_AT_ONCE]
+            whole = {i: self._library([x])[0] for i, x in enumerate(part) if x and any(y in x for y in self.added)}
+            cut = [self.stretches(x) if x and i not in whole else [] for i, x in enumerate(part)]
+            flat = list(chain.from_iterable(cut))
+            found = list(map(self.memo.get, flat))
+            missing = [i for i, x in enumerate(found) if x is None]
+            if missing:
+                self._learn(list(dict.fromkeys(flat[i] for i in missing)))
+                for i in missing:
+                    found[i] = self.memo[flat[i]]
+            end = 0
+            for i, x in enumerate(cut):
+                start, end = end, end + len(x)
+                out.append(whole[i] if i in whole else b"".join(found[start:end]))
+            if len(self.memo) > MEMO_ENTRIES // 2:
+                self.older, self.memo = self.memo, {}
+        return out
 
 
 def encoder(path: str, drops_space: bool = False) -> MemoEncoder:
