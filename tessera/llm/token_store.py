@@ -47,7 +47,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bo
         end = np.array([end_id], encode.dtype).tobytes()
         total = 0
         for batch in batches:
-            ids = [encode.encode(x.as_py()) + end for x in batch.column(2)]
+            ids = [x + end for x in encode.encode(batch.column(2).to_pylist())]
             n = np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize
             start = total + np.cumsum(n) - n
             total += int(n.sum())
@@ -69,10 +69,10 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.bincount(_numbers(raw, n), minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
+            raw = b"".join(batch.column(1).to_pylist())
+            more = np.bincount(_numbers(raw, sum(batch.column(0).to_pylist())), minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
