@@ -10,6 +10,40 @@ from pyspark.sql import functions as F
 from tessera.llm.common import new_path, table
 
 
+def op1_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.wordpiece import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import without_repeated_lines
+
+    return without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks")
+
+
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.image_copies import image_copies, images_from_embeddings
+
+    return image_copies(images_from_embeddings(table(spark, sf_dir, "embeddings")))
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score, train
+
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import score, train
+
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +85,13 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
