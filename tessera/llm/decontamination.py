@@ -87,12 +87,18 @@ def _anchors(items: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * SIMILARITY - 1e-9) + 1).select("k", F.col("hash").alias("anchor"), "n").distinct()
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: the optimizer doesn't copy what a
+    generator makes into the filters and lambdas that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _windows(documents: DataFrame, k: int, sizes: dict[int, list[int]]) -> DataFrame:
     """(doc_id, text_hash, n, start, words, hashes) for windows of n words over an anchor of that n."""
     every = ", ".join(f"{h}L" if h != -(2**63) else f"-{2**63 - 1}L - 1L" for h in sizes)
     of_anchor = f"map({', '.join(f'{h}L, array({", ".join(map(str, n))})' for h, n in sizes.items())})"
-    hashed = documents.select("doc_id", "text_hash", "words", _shingle_hashes(F.col("words"), k).alias("hashes"))
-    anchored = hashed.withColumn("at", F.expr(f"filter(sequence(0, size(hashes)), i -> get(hashes, i) in ({every}))")).where(F.size("at") > 0)
+    hashed = _once(documents, "hashes", _shingle_hashes(F.col("words"), k))
+    anchored = _once(hashed, "at", F.expr(f"filter(sequence(0, size(hashes)), i -> get(hashes, i) in ({every}))")).where(F.size("at") > 0)
     starts = F.expr(
         f"""array_distinct(flatten(transform(at, i -> flatten(transform(element_at({of_anchor}, get(hashes, i)), n ->
             transform(sequence(greatest(0, i + {k} - n), least(i, greatest(0, size(words) - n))), s -> n * 4294967296L + s))))))"""
@@ -125,7 +131,7 @@ def _index(items: DataFrame) -> DataFrame:
 
 def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
     index = small(written(_index(items)))
-    printed = windows.withColumn("fp", simhash(F.col("hashes")))
+    printed = _once(windows, "fp", simhash(F.col("hashes")))
     probes = printed.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", _block(F.col("fp"), F.col("block")))
     pairs = probes.join(index, ["n", "block", "value"]).withColumn("differ", F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.bit_count(_block(F.col("differ"), j)) <= 1)
@@ -135,7 +141,7 @@ def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
         F.lit(0),
         lambda acc, x: acc + F.least(x["counts"], F.size(F.filter("of_window", lambda y: y == x["shingles"]))),
     )
-    scored = pairs.withColumn("of_window", _shingles(F.col("words"), k)).withColumn("common", common)
+    scored = _once(_once(pairs, "of_window", _shingles(F.col("words"), k)), "common", common)
     similarity = F.col("common") / (F.col("m") + F.size("of_window") - F.col("common"))
     return scored.select("doc_id", "text_hash", "item_id", "start", F.size("words").alias("n_words"), similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
@@ -150,7 +156,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     one. Empty tables give an empty result; other columns are ignored.
     """
     items = _items(benchmark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = _once(texts, "words", words_of("text")).drop("text")
     passes = max(1, math.ceil(items.count() / ITEMS_AT_ONCE))
     found = []
     for number in range(passes):
