@@ -19,6 +19,7 @@ from tessera.llm.common import new_path, remove, small
 from tessera.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
+TOKENIZED_NAMES = ["part", "start", "doc_id", "n", "ids", "counts"]
 
 
 def _range_bounds(documents: DataFrame, parts: int) -> list[int]:
@@ -31,8 +32,9 @@ def _range_bounds(documents: DataFrame, parts: int) -> list[int]:
 
 
 def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bool) -> DataFrame:
-    """(part int, start long, doc_id long, n long, ids binary): each part in doc_id order, then
-    text; start: ids of the part before the row."""
+    """(part int, start long, doc_id long, n long, ids binary, counts binary): each part in doc_id
+    order, then text; start: ids of the part before the row. Each task adds a row of part -1 with
+    how often it met each id, as int64."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,18 +47,23 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bo
 
         encode = encoder(tokenizer, drops_space)
         end = np.array([end_id], encode.dtype).tobytes()
-        total = 0
+        total, counts = 0, np.zeros(0, np.int64)
         for batch in batches:
             ids = [x + end for x in encode.encode(batch.column(2).to_pylist())]
             n = np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize
             start = total + np.cumsum(n) - n
             total += int(n.sum())
+            more = np.bincount(np.frombuffer(b"".join(ids), encode.dtype), minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(start), batch.column(1), pa.array(n), pa.array(ids, pa.binary())],
-                ["part", "start", "doc_id", "n", "ids"],
+                [batch.column(0), pa.array(start), batch.column(1), pa.array(n), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
+                TOKENIZED_NAMES,
             )
+        last = [pa.array([-1], pa.int32()), pa.array([0]), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, TOKENIZED_NAMES)
 
-    return ranged.mapInArrow(run, "part int, start long, doc_id long, n long, ids binary")
+    return ranged.mapInArrow(run, "part int, start long, doc_id long, n long, ids binary, counts binary")
 
 
 def _numbers(raw: bytes, n: int) -> np.ndarray:
@@ -64,19 +71,19 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(id int, n long) over all rows; a task sends at most one row for each id."""
+    """(id int, n long) from the rows of part -1; a task sends at most one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            raw = b"".join(batch.column(1).to_pylist())
-            more = np.bincount(_numbers(raw, sum(batch.column(0).to_pylist())), minlength=len(counts))
-            more[: len(counts)] += counts
-            counts = more
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                counts = np.frombuffer(raw, np.int64)
+                total = np.pad(total, (0, max(0, len(counts) - len(total))))
+                total[: len(counts)] += counts
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return rows.select("n", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.where("part = -1").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _blocks(rows: DataFrame, coder: Coder) -> DataFrame:
@@ -118,6 +125,7 @@ def write_store(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2
     tokenized(documents, tokenizer, end_id, drops_space).write.option("compression", "zstd").parquet(scratch)
     rows = spark.read.parquet(scratch)
     found = _counts(rows).collect()
+    rows = rows.where("part >= 0").drop("counts")
     counts = np.zeros(max((x["id"] for x in found), default=0) + 1, np.int64)
     for x in found:
         counts[x["id"]] = x["n"]
