@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions.text import token_list
 from tessera.operators.chunking import HOP, WIDTH
@@ -116,7 +117,7 @@ class OnnxEmbedder:
 def with_embeddings(records: DataFrame, embedder: Embedder) -> DataFrame:
     """``records`` with an ``embedding`` of their ``text``; an error in embedding gives zeros and
     stands in ``error``, so that no row is lost."""
-    schema = records.drop("embedding").schema.add("embedding", "array<float>")
+    schema = records.drop("embedding").schema.add("embedding", ArrayType(FloatType()))
     has_error = "error" in records.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
