@@ -9,20 +9,27 @@ look-up for each id.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
-MAX_BITS = 20
-STRIDE = 256
+STRIDE = 128
 MAGIC = b"HTB1"
 
 
-def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``max_bits`` (package-merge); 0 where the count is 0."""
+def most_bits(ids: int) -> int:
+    """A limit that costs little for so many ids and keeps the decoding table small."""
+    return max(14, math.ceil(math.log2(max(2, ids))) + 2)
+
+
+def code_lengths(counts: np.ndarray, max_bits: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most ``max_bits`` (package-merge), by default ``most_bits``; 0
+    where the count is 0."""
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     n = len(used)
+    max_bits = max_bits or most_bits(n)
     if n == 0:
         return lengths
     if n == 1:
@@ -67,45 +74,45 @@ class Coder:
 
     def __post_init__(self) -> None:
         self.codes = canonical_codes(self.lengths)
-        self._table: tuple[np.ndarray, np.ndarray, int] | None = None
+        self._sizes = self.lengths.astype(np.int64)
+        self._aligned = self.codes.astype(np.uint64) << (64 - np.maximum(self._sizes, 1)).astype(np.uint64)
+        self._table: tuple[np.ndarray, int] | None = None
 
     def encode(self, documents: list[tuple[int | None, np.ndarray]]) -> bytes:
         """A block of (id or null, token ids) with at least one document; each has a token."""
         counts = np.array([len(x) for _, x in documents], np.int64)
         ids = np.concatenate([x for _, x in documents])
-        size = self.lengths[ids].astype(np.int64)
+        size = self._sizes[ids]
         begin = np.cumsum(size) - size
         ends = np.cumsum(counts)
         firsts = ends - counts
-        bits = np.add.reduceat(size, firsts)
-        whole = (bits + 7) // 8 * 8
+        whole = (np.add.reduceat(size, firsts) + 7) // 8 * 8
         begin += np.repeat(np.cumsum(whole) - whole - begin[firsts], counts)
         total = int(whole.sum())
         words = np.zeros(total // 64 + 2, np.uint64)
-        at, room = begin >> 6, 64 - (begin & 63) - size
-        code = self.codes[ids].astype(np.uint64)
-        high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+        at, skip = begin >> 6, begin & 63
+        code = self._aligned[ids]
         new = np.flatnonzero(np.diff(at, prepend=-1))
-        words[at[new]] = np.bitwise_or.reduceat(high, new)
-        over = np.flatnonzero(room < 0)
-        words[at[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        words[at[new]] = np.bitwise_or.reduceat(code >> skip.astype(np.uint64), new)
+        over = np.flatnonzero(skip + size > 64)
+        words[at[over] + 1] |= code[over] << (64 - skip[over]).astype(np.uint64)
         marks = np.concatenate([begin[a:b:STRIDE] for a, b in zip(firsts, ends, strict=True)]).astype("<u4")
         head = np.array([len(documents), len(ids), STRIDE], "<u4").tobytes()
         names = np.array([x or 0 for x, _ in documents], "<i8").tobytes()
         nulls = np.array([x is None for x, _ in documents], np.uint8).tobytes()
         return b"".join([MAGIC, head, names, counts.astype("<u4").tobytes(), nulls, marks.tobytes(), words.astype(">u8").tobytes()[: total // 8]])
 
-    def _tables(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """For every window of as many bits as the longest code: its first id and that id's length."""
+    def _tables(self) -> tuple[np.ndarray, int]:
+        """For every window of as many bits as the longest code: 32 times its first id, plus that
+        id's length."""
         if self._table is None:
             used = np.flatnonzero(self.lengths)
             width = int(self.lengths.max(initial=1))
-            used = used[np.argsort(self.codes[used].astype(np.uint64) << (width - self.lengths[used]).astype(np.uint64), kind="stable")]
-            spans = 1 << (width - self.lengths[used].astype(np.int64))
+            used = used[np.argsort(self._aligned[used], kind="stable")]
+            spans = 1 << (width - self._sizes[used])
             pad = (1 << width) - int(spans.sum())
-            symbols = np.concatenate([np.repeat(used, spans), np.zeros(pad, np.int64)]).astype(np.uint32)
-            sizes = np.concatenate([np.repeat(self.lengths[used], spans), np.ones(pad, np.uint8)]).astype(np.int64)
-            self._table = symbols, sizes, width
+            entries = used.astype(np.uint32) * 32 + self.lengths[used]
+            self._table = np.concatenate([np.repeat(entries, spans), np.ones(pad, np.uint32)]), width
         return self._table
 
     def decode(self, block: bytes) -> list[tuple[int | None, np.ndarray]]:
@@ -126,7 +133,7 @@ class Coder:
         lane = np.arange(len(position)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         out_at = np.repeat(firsts, lanes) + lane * stride
         length = np.minimum(stride, np.repeat(counts, lanes) - lane * stride)
-        symbols, sizes, width = self._tables()
+        table, width = self._tables()
         ids = np.empty(total, np.uint32)
         order = np.argsort(-length, kind="stable")
         position, out_at, length = position[order], out_at[order], length[order]
@@ -134,7 +141,7 @@ class Coder:
         for step in range(int(length[0]) if len(length) else 0):
             n = int(alive[step])
             here = position[:n]
-            key = (window[here >> 3] << (here & 7).astype(np.uint32)) >> np.uint32(32 - width)
-            ids[out_at[:n] + step] = symbols[key]
-            here += sizes[key]
+            entry = table[(window[here >> 3] << (here & 7).astype(np.uint32)) >> np.uint32(32 - width)]
+            ids[out_at[:n] + step] = entry >> 5
+            here += entry & 31
         return [(None if null else int(name), x) for name, null, x in zip(names, nulls, np.split(ids, np.cumsum(counts)[:-1]), strict=True)] if documents else []
