@@ -52,3 +52,7 @@ def bucket(score: Column) -> Column:
 def formatted(rank: Column, score: Column, path: Column) -> Column:
     """A line of a result list: right-aligned rank, score of three decimals, path."""
     return F.format_string("%3d. %.3f %s", rank.cast("int"), score.cast("double"), path)
+
+
+def status_line(n: int, seconds: float) -> str:
+    return f"{n} results ({seconds:.2f}s)"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +28,19 @@ class LiveIndex:
     is new or changed, and publishes all tables as one version.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, store: str, embedder: Embedder) -> None:
-        self.spark, self.folder, self.embedder = spark, folder, embedder
+    def __init__(self, spark: SparkSession, folder: str, store: str, embedder: Embedder, on_progress: Callable[[str], None] = log.info) -> None:
+        self.spark, self.folder, self.embedder, self.on_progress = spark, folder, embedder, on_progress
         self.store = SnapshotStore(spark, store)
         self.query: StreamingQuery | None = None
         if self.store.current() is None:
-            self.store.publish(self._made(read_files(list_files(spark, folder))))
+            found = list_files(spark, folder)
+            self._publish(self._made(read_files(found)), found.count())
+
+    def _publish(self, records: DataFrame, n: int) -> None:
+        """``n``: how many files are extracted and embedded for it."""
+        self.on_progress(f"Indexing 0/{n}")
+        self.store.publish(records)
+        self.on_progress(f"Indexing {n}/{n}")
 
     def _made(self, files: DataFrame) -> DataFrame:
         return with_embeddings(extract(files), self.embedder)
@@ -52,7 +59,7 @@ class LiveIndex:
             return False
         wanted = snapshots.new_or_changed(disk, records).select("path")
         fresh = self._made(files.join(wanted, "path", "left_semi"))
-        self.store.publish(snapshots.upsert(disk, records, fresh))
+        self._publish(snapshots.upsert(disk, records, fresh), wanted.count())
         return True
 
     def start(self, checkpoint: str, interval_s: float = INTERVAL_S) -> StreamingQuery:
@@ -81,6 +88,4 @@ class LiveIndex:
         now = self.snapshot()
         query_vec = [float(x) for x in embed(self.embedder, query)]
         corpus = now.vectors.join(now.records.select(F.col("path").alias("doc_id"), "text"), "doc_id")
-        if not query.strip() or k <= 0:
-            return vectors.top_k(now.vectors, query_vec, k)
         return fusion.top_k_hybrid(corpus, query, query_vec, k, now.index)
