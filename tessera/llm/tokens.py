@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -18,9 +20,21 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MEMO_ENTRIES = 1_200_000
 TEXTS_AT_ONCE = 64
 
+_plain_bytes = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_spare = iter(range(256, 512))
+#: How byte-level tokenizers write each byte: printable ones as themselves, the others from U+0100 on.
+BYTE_LETTERS = [chr(b if b in _plain_bytes else next(_spare)) for b in range(256)]
+
 _encoders: dict[tuple[str, bool], MemoEncoder] = {}
 
 
+def _steps(path: str, part: str) -> list[dict]:
+    """The steps of a tokenizers file's normalizer or pre-tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file).get(part)
+    return found.get(f"{part.replace('_', '')}s", [found]) if found else []
+
+
 class MemoEncoder:
     """Encodes texts as the library does, one stretch between white space at a time.
 
@@ -43,14 +57,10 @@ class MemoEncoder:
         pattern = f"{word}|{other}++" if drops_space else f"{space}*+{word}|{space}*+{other}++|{space}++"
         self.stretches = re.compile(pattern).findall
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # one pre-token whose ends show in its ids, so that many can be encoded in one text
+        # a single pre-token, which the library's model can take without the steps before it
         self.plain = re.compile(f"{'' if drops_space else ' '}[{LETTERS}]+").fullmatch
-        self.glue = " " if drops_space else ""
-        pieces = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(pieces.values()) + 1, bool)
-        self.edge_is_last = drops_space
-        for piece, i in pieces.items():
-            self.edge[i] = piece.endswith("</w>") if drops_space else piece.startswith("\u0120")
+        self.lowers = any(x["type"] == "Lowercase" for x in _steps(path, "normalizer"))
+        self.model = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -65,16 +75,11 @@ class MemoEncoder:
                 new.append(x)
             else:
                 self.memo[x] = ids
-        plain = [x for x in new if self.plain(x)]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) == len(plain):
-                ends = edges + 1 if self.edge_is_last else np.append(edges[1:], len(ids))
-                raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-                self.memo.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:
-                self.memo.update(zip(plain, self._library(plain), strict=True))
+        kind = self.dtype.char
+        for x in filter(self.plain, new):
+            word = x.lower() if self.lowers else x
+            written = word.replace(" ", BYTE_LETTERS[32]) if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+            self.memo[x] = array(kind, [t.id for t in self.model(written)]).tobytes()
         other = [x for x in new if x not in self.memo]
         if other:
             self.memo.update(zip(other, self._library(other), strict=True))
