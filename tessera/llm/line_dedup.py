@@ -1,14 +1,16 @@
 """Repeated passages of lines: content-defined chunks, found by hash, compared by bytes, removed.
 
-A rolling hash over the hashes of the last two lines ends a chunk where it is even, so that the
-same lines are cut at the same places wherever they stand. A line of 50 words or more is a wrapped
-passage by itself: it is a chunk of its own. A chunk counts if it has two lines or such a long
-one, and 20 words. Of the places that hold the same chunk the first stays: the least doc_id, then
-text hash, then line.
+Lines are wrapped where a sentence ends, so that a passage inside a paragraph has lines of its own.
+A rolling hash over the hashes of the last two lines ends a chunk where it is even, and a line of
+12 words or more is a chunk by itself: the same lines are cut at the same places wherever they
+stand. Of the places that hold the same chunk the first stays: the least doc_id, then text hash,
+then place. The other places are cut out of their texts where such chunks, one after the other,
+have 20 words or more.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +22,11 @@ from tessera.llm.common import small, written
 
 WINDOW = 2
 DIVISOR = 2
-LONG_LINE_WORDS = 50
+LONG_LINE_WORDS = 12
 LEAST_WORDS = 20
 _MASK = 2**64 - 1
+_LINE_ENDS = re.compile(rb"(?<=[.!?]) |\n").finditer
+_SPACE = b" \n"
 
 
 def _turned(x: int, by: int) -> int:
@@ -30,87 +34,125 @@ def _turned(x: int, by: int) -> int:
     return ((x << by) | (x >> (64 - by))) & _MASK
 
 
-def chunks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first line, lines, text) of each chunk that counts."""
-    lines = text.split("\n")
-    words = [x.count(" ") + 1 for x in lines]
-    hashes = [xxh64_intdigest(x) for x in lines]
+def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, content) of each chunk with content: bytes ``start`` to ``end``, without
+    a separator at its end in ``content``. Chunks without content are left out."""
+    ends = [m.end() for m in _LINE_ENDS(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    starts = [0, *ends[:-1]]
+    lines = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+    hashes = [xxh64_intdigest(x.rstrip(_SPACE)) for x in lines]
+    words = [x.count(b" ") + (x[-1:] not in (b" ", b"")) for x in lines]
     first = rolling = 0
     for i, new in enumerate(hashes):
         rolling = _turned(rolling, 1) ^ new
         if i >= WINDOW:
             rolling ^= _turned(hashes[i - WINDOW], WINDOW)
-        long_line = words[i] >= LONG_LINE_WORDS
-        last = i + 1 == len(lines)
-        if long_line or last or rolling % DIVISOR == 0 or words[i + 1] >= LONG_LINE_WORDS:
-            n = i + 1 - first
-            if (long_line or n > 1) and sum(words[first : i + 1]) >= LEAST_WORDS:
-                chunk = "\n".join(lines[first : i + 1])
-                if chunk.strip():
-                    yield first, n, chunk
+        if words[i] >= LONG_LINE_WORDS or i + 1 == len(lines) or rolling % DIVISOR == 0 or words[i + 1] >= LONG_LINE_WORDS:
+            content = text[starts[first] : ends[i]].rstrip(_SPACE)
+            if content:
+                yield starts[first], ends[i], sum(words[first : i + 1]), content
             first = i + 1
 
 
-def _sites(documents: DataFrame, with_text: bool) -> DataFrame:
-    """(doc_id, text_hash, chunk_hash, first_line, n_lines[, chunk]) of every chunk that counts."""
+def runs(spans: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of adjoining (start, end, words) with at least ``least`` words together."""
+    out: list[list[int]] = []
+    for start, end, n in sorted(set(spans)):
+        if out and out[-1][1] == start:
+            out[-1][1] = end
+            out[-1][2] += n
+        else:
+            out.append([start, end, n])
+    return [(a, b) for a, b, n in out if n >= least]
 
+
+_SITE = "doc_id long, text_hash long, chunk_hash long, start int, stop int, words int, chunk binary"
+
+
+def _chunk_hashes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5 + with_text)]
-            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for first, n, chunk in chunks(text or ""):
-                    values = [doc_id, text_hash, xxh64_intdigest(chunk) - 2**63, first, n, *([chunk] if with_text else [])]
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-            names = ["doc_id", "text_hash", "chunk_hash", "first_line", "n_lines", "chunk"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names[: len(rows)])
+            found = [xxh64_intdigest(c) - 2**63 for text in batch.column(2).to_pylist() for _, _, _, c in chunks(text or b"")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["chunk_hash"])
+
+    return rows.mapInArrow(run, "chunk_hash long")
 
-    schema = "doc_id long, text_hash long, chunk_hash long, first_line int, n_lines int" + ", chunk string" * with_text
-    return documents.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
+
+def _sites(rows: DataFrame) -> DataFrame:
+    """``_SITE`` of every chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "text_hash", "chunk_hash", "start", "stop", "words", "chunk"]
+        for batch in batches:
+            found = [
+                (doc_id, text_hash, xxh64_intdigest(chunk) - 2**63, start, end, words, chunk)
+                for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+                for start, end, words, chunk in chunks(text or b"")
+            ]
+            columns = zip(*found, strict=True) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return rows.mapInArrow(run, _SITE)
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first_line, n_lines) of every chunk that stands earlier, too.
+    """(doc_id, text_hash, start, stop, words) of every chunk that stands earlier, too.
 
     Rows equal in doc_id and text are one document; a null doc_id comes after all others.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "first_line")
-    every = _sites(rows, False).select("chunk_hash", site.alias("site"))
-    keepers = every.groupBy("chunk_hash").agg(F.min("site").alias("kept"), F.max("site").alias("last")).where("kept != last")
-    repeated = written(keepers.select("chunk_hash", "kept"))
-    found = written(_sites(rows, True).join(small(repeated), "chunk_hash").withColumn("is_kept", site.eqNullSafe(F.col("kept"))).drop("kept"))
-    kept = written(found.where("is_kept").select("chunk_hash", F.col("chunk").alias("kept_chunk")).distinct())
-    again = found.where("not is_kept").join(kept, "chunk_hash").where("chunk = kept_chunk")
-    return again.select("doc_id", "text_hash", "first_line", "n_lines")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    repeated = written(_chunk_hashes(rows).groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash"))
+    found = written(_sites(rows).join(small(repeated), "chunk_hash"))
+    site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
+    firsts = written(found.groupBy("chunk_hash").agg(F.min(site).alias("kept"), F.max(site).alias("last")).where("kept != last").select("chunk_hash", "kept"))
+    marked = found.join(small(firsts), "chunk_hash").withColumn("is_kept", site.eqNullSafe(F.col("kept")))
+    kept = written(marked.where("is_kept").select("chunk_hash", F.col("chunk").alias("kept_chunk")).distinct())
+    again = marked.where("not is_kept").join(small(kept), "chunk_hash").where("chunk = kept_chunk")
+    return again.select("doc_id", "text_hash", "start", "stop", "words")
+
+
+def _removals(repeated: DataFrame) -> DataFrame:
+    """(_id, _hash, _cuts array<struct<start, stop>>): what goes from each document that loses anything."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())]))
+        for batch in batches:
+            cuts = [[{"start": a, "stop": b} for a, b in runs([(s["start"], s["stop"], s["words"]) for s in spans])] for spans in batch.column(2).to_pylist()]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)], ["_id", "_hash", "_cuts"])
+            yield rows.filter(pa.array([bool(x) for x in cuts]))
+
+    # a document's own chunks
+    spans = repeated.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop", "words")).alias("spans"))
+    return spans.mapInArrow(run, "_id long, _hash long, _cuts array<struct<start: int, stop: int>>")
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text's lines outside of ``spans``, an ascending array of (first_line, n_lines)."""
-    lines = F.split(text, "\n")
+def _without(text: Column, cuts: Column) -> Column:
+    """The text's bytes outside of the ascending ``cuts``; a separator that a cut leaves at the end goes, too."""
+    raw = text.cast("binary")
+    size = F.octet_length(text)
 
     def part(i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["first_line"] + F.get(spans, i - 1)["n_lines"])
-        end = F.when(i == F.size(spans), F.size(lines)).otherwise(F.get(spans, i)["first_line"])
-        return F.slice(lines, start + 1, end - start)
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"])
+        end = F.when(i == F.size(cuts), size).otherwise(F.get(cuts, i)["start"])
+        return F.substring(raw, start + 1, end - start).cast("string")
 
-    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), part)), "\n")
+    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), part), "")
+    return F.when(F.element_at(cuts, -1)["stop"] == size, F.regexp_replace(left, r"[ \n]\z", "")).otherwise(left)
 
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with repeated chunks of lines cut out of ``text``; every row and other column stays.
+    """``documents`` with repeated passages cut out of ``text``; every row and other column stays.
 
-    A document of which nothing is left has an empty text; null texts stay null. Lines end at
-    "\\n". A column ``removed_chunks`` (int, 0 where the text is as it was) is added, in place of
-    any of that name.
+    A document of which nothing is left has an empty text; null texts stay null. A column
+    ``removed_passages`` (int, 0 where the text is as it was) is added, in place of any of that
+    name.
     """
-    spans = written(
-        repeated_chunks(documents).distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first_line", "n_lines"))).alias("_spans"))
-        .select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_text"), "_spans")
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_text"))
-    joined = documents.drop("removed_chunks").join(small(spans), same, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans")))
-    removed = F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_spans"))
-    return joined.withColumns({"text": text, "removed_chunks": removed}).drop("_span_id", "_span_text", "_spans")
+    cuts = written(_removals(repeated_chunks(documents)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    joined = documents.drop("removed_passages").join(small(cuts), same, "left")
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_cuts")))
+    removed = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts"))
+    return joined.withColumns({"text": text, "removed_passages": removed}).drop("_id", "_hash", "_cuts")

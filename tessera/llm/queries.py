@@ -21,7 +21,7 @@ def op1_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import without_repeated_lines
 
-    return without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_chunks")
+    return without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_passages")
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

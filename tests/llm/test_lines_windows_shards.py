@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from texts import prose
 
 from tessera.llm.decontamination import RADIUS, SIMILARITY, contaminated, without_contaminated
-from tessera.llm.line_dedup import chunks, without_repeated_lines
+from tessera.llm.line_dedup import LEAST_WORDS, chunks, without_repeated_lines
 from tessera.llm.sharding import read_shards, shard_of, write_shards
 
 # --- line dedup
@@ -16,37 +16,79 @@ def plain_dedup(rows):
     """{(doc_id, text): new text}, chunk texts compared themselves."""
     seen, out = set(), {}
     for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")):
-        lines = (text or "").split("\n")
-        gone = set()
-        for first, n, chunk in chunks(text or ""):
+        raw, marked = (text or "").encode(), []
+        for start, end, words, chunk in chunks(raw):
             if chunk in seen:
-                gone.update(range(first, first + n))
+                marked.append((start, end, words))
             seen.add(chunk)
-        out[doc_id, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        left, at, last = b"", 0, None
+        for start, end in [*_plain_runs(marked), (len(raw), None)]:
+            left, last = left + raw[at:start], end if end is not None else last
+            at = end
+        if last == len(raw) and marked and left[-1:] in (b" ", b"\n"):
+            left = left[:-1]
+        out[doc_id, text] = None if text is None else left.decode()
     return out
 
 
+def _plain_runs(marked):
+    found = []
+    for start, end, words in marked:
+        if found and found[-1][1] == start:
+            found[-1] = (found[-1][0], end, found[-1][2] + words)
+        else:
+            found.append((start, end, words))
+    return [(a, b) for a, b, n in found if n >= LEAST_WORDS]
+
+
+def sentences(rng, n):
+    out = []
+    while sum(map(len, out)) < n:
+        out.append(prose(rng, min(rng.randint(1, 16), n - sum(map(len, out)))).split())
+    return " ".join(" ".join(x).capitalize() + rng.choice(".!?") for x in out)
+
+
+def test_chunks_partition_what_they_keep(rng):
+    for _ in range(200):
+        text = "".join(rng.choice("a. \n!é") for _ in range(rng.randint(0, 30))).encode()
+        at = 0
+        for start, end, _, content in chunks(text):
+            assert start >= at and not text[at:start].strip() and content and text[start:end].rstrip(b" \n") == content
+            at = end
+        assert not text[at:].strip()
+
+
 def test_line_dedup_equals_brute_force(spark, rng):
-    passages = ["\n".join(prose(rng, rng.choice([4, 12, 60])) for _ in range(rng.randint(1, 5))) for _ in range(6)]
+    passages = ["\n".join(sentences(rng, rng.choice([4, 12, 60])) for _ in range(rng.randint(1, 5))) for _ in range(6)]
     rows = []
     for i in range(50):
-        parts = [prose(rng, rng.choice([3, 15, 70])) for _ in range(rng.randint(0, 4))] + rng.sample(passages, rng.randint(0, 3))
+        parts = [sentences(rng, rng.choice([3, 15, 70])) for _ in range(rng.randint(0, 4))] + rng.sample(passages, rng.randint(0, 3))
         rng.shuffle(parts)
-        rows.append((i, "\n".join(parts)))
-    rows += [(70, rows[3][1]), (71, rows[3][1]), (None, rows[4][1]), (72, None), (73, ""), (5, rows[5][1])]
+        rows.append((i, rng.choice(" \n").join(parts)))
+    rows += [(70, rows[3][1]), (71, rows[3][1]), (None, rows[4][1]), (72, None), (73, ""), (5, rows[5][1]), (None, None)]
     got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     expected = plain_dedup(rows)
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, expected[i, t]) for i, t in rows)
-    assert any(r.removed_chunks for r in got)
+    assert any(r.removed_passages for r in got)
 
 
-def test_a_long_line_is_cut_wherever_it_stands(spark, rng):
-    passage = prose(rng, 55)
-    rows = [(i, "\n".join([prose(rng, 8), passage, prose(rng, 8)])) for i in range(4)]
+def test_passages_of_over_fifty_words_go_wherever_they_stand(spark, rng):
+    found = total = 0
+    passages = [sentences(rng, rng.randint(51, 90)) for _ in range(30)]
+    rows = [(0, sentences(rng, 40)), (1, sentences(rng, 300))]
+    for passage in passages:
+        for k in range(3):
+            before, after = sentences(rng, 30), sentences(rng, 30)
+            rows.append((len(rows), [f"{before} {passage}", f"{before}\n{passage}\n{after}", f"{before} {passage} {after}"][k]))
     got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == rows[0][1]
-    assert all(passage not in got[i] and got[i] == rows[i][1].replace(passage + "\n", "") for i in (1, 2, 3))
+    assert got[0] == rows[0][1] and got[1] == rows[1][1]
+    for j, passage in enumerate(passages):
+        assert got[2 + 3 * j] == rows[2 + 3 * j][1]  # the first stays
+        for k in (1, 2):
+            total += 1
+            found += passage not in got[2 + 3 * j + k]
+    assert found >= 0.95 * total
 
 
 def test_clean_and_awkward_rows_stay(spark, awkward, empty):

@@ -111,7 +111,8 @@ def test_images_from_embeddings(spark):
 
 
 def test_pipeline(spark, rng, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as pipeline
+
     documents, labels, known = labelled(spark, rng, 300)
     item = prose(rng, 25)
     passage = prose(rng, 60)
