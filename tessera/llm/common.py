@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
-#: Rows of a few numbers that a broadcast may hold; beyond it the join is shuffled.
+#: Rows, and bytes of Parquet, that a broadcast may hold; beyond either the join is shuffled.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 24_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,8 @@ def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table of narrow rows) with a broadcast hint if it has few rows; otherwise
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if it has few rows in small files; otherwise
     as it is, so that the join is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    on_disk = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if on_disk <= size and df.count() <= rows else df

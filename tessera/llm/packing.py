@@ -95,9 +95,9 @@ def place(tokens: list[int], loss_from: list[int], limits: Limits) -> list[tuple
     return pieces
 
 
-def pack(examples: DataFrame, limits: Limits = Limits(), seed: int = SEED) -> DataFrame:
-    """Pieces (``PACKED``) of ``examples`` (example_id long, text-independent ``ids`` binary of
-    little-endian uint16 or uint32 by ``width`` int, loss_from long, block long).
+def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Pieces (``PACKED``) of ``examples`` (example_id long, ids binary of little-endian numbers of
+    ``width`` bytes, width int, loss_from long, block long).
 
     Examples without tokens give no piece. sequence_id: the block, then the bin's number in it;
     offsets in a sequence have no gap; ``ids`` of a piece are little-endian uint32.
@@ -154,4 +154,4 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), width, zeros], ["block", "example_id", "ids", "width", "loss_from"])
 
     examples = dealt.mapInArrow(run, "block long, example_id long, ids binary, width int, loss_from long")
-    return pack(examples, limits, seed)
+    return pack(examples, limits)

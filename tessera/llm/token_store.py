@@ -8,11 +8,12 @@ counts the ids before a block in its part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, remove, small
@@ -31,6 +32,17 @@ def _range_bounds(documents: DataFrame, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _part_of(bounds: list[int]) -> Column:
+    """How many of the ascending bounds are less than the doc_id: first in steps, then in one step."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    numbers = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    less = lambda x: F.size(F.filter(x, lambda b: b < F.col("doc_id")))
+    start = less(numbers(bounds[step - 1 :: step])) * step
+    return F.when(F.col("doc_id").isNotNull(), start + less(F.slice(numbers(bounds), start + 1, F.lit(step))))
+
+
 def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bool) -> DataFrame:
     """(part int, start long, doc_id long, n long, ids binary, counts binary): each part in doc_id
     order, then text; start: ids of the part before the row. Each task adds a row of part -1 with
@@ -38,8 +50,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bo
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = F.array(*[F.lit(x) for x in _range_bounds(rows, parts)]).cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x < F.col("doc_id"))))
+    part = F.coalesce(_part_of(_range_bounds(rows, parts)), F.lit(0))
     ranged = rows.select(part.cast("int").alias("part"), "doc_id", "text").repartitionById(parts, "part").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
