@@ -122,11 +122,10 @@ def _block(fp: Column, at: Column) -> Column:
 
 
 def _index(items: DataFrame) -> DataFrame:
-    """(n, block, value, item_id, item_fp, k, m, shingles, counts): each block as it is and with
-    each bit flipped."""
+    """(n, block, value, item_id, item_fp): each block as it is and with each bit flipped."""
     flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(8))]])
     blocks = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    return blocks.select("n", "block", F.explode(F.transform(flips, lambda x: _block(F.col("fp"), F.col("block")).bitwiseXOR(x))).alias("value"), "item_id", F.col("fp").alias("item_fp"), "m", "shingles", "counts")
+    return blocks.select("n", "block", F.explode(F.transform(flips, lambda x: _block(F.col("fp"), F.col("block")).bitwiseXOR(x))).alias("value"), "item_id", F.col("fp").alias("item_fp"))
 
 
 def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -136,6 +135,7 @@ def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
     pairs = probes.join(index, ["n", "block", "value"]).withColumn("differ", F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.bit_count(_block(F.col("differ"), j)) <= 1)
     pairs = pairs.where((F.array_position(near, True) == F.col("block") + 1) & (F.bit_count("differ") <= RADIUS))
+    pairs = pairs.join(small(items.select("item_id", "m", "shingles", "counts")), "item_id")
     common = F.aggregate(
         F.arrays_zip("shingles", "counts"),
         F.lit(0),
