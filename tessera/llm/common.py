@@ -13,12 +13,21 @@ _own_folder: dict[str, str] = {}
 #: Rows, and bytes of Parquet, that a broadcast may hold; beyond either the join is shuffled.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 24_000_000
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to hand Python few rows at once: texts are long, and both
+    sides hold a whole batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,47 +13,52 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import small, written
+from tessera.llm.common import in_small_batches, small, written
 
-WINDOW = 2
 DIVISOR = 2
 LONG_LINE_WORDS = 12
 LEAST_WORDS = 20
-_MASK = 2**64 - 1
+#: Bits of the filter of repeated hashes that tasks get, whatever their number: 16 MB.
+FILTER_BUCKETS, FILTER_BITS = 4096, 32768
+#: Chunks that a task hands over at once.
+SITES_AT_ONCE = 10_000
 _LINE_ENDS = re.compile(rb"(?<=[.!?]) |\n").finditer
 _SPACE = b" \n"
 
 
-def _turned(x: int, by: int) -> int:
-    by %= 64
-    return ((x << by) | (x >> (64 - by))) & _MASK
-
-
 def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, content) of each chunk with content: bytes ``start`` to ``end``, without
     a separator at its end in ``content``. Chunks without content are left out."""
     ends = [m.end() for m in _LINE_ENDS(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    starts = [0, *ends[:-1]]
-    lines = [text[a:b] for a, b in zip(starts, ends, strict=True)]
-    hashes = [xxh64_intdigest(x.rstrip(_SPACE)) for x in lines]
-    words = [x.count(b" ") + (x[-1:] not in (b" ", b"")) for x in lines]
-    first = rolling = 0
-    for i, new in enumerate(hashes):
-        rolling = _turned(rolling, 1) ^ new
-        if i >= WINDOW:
-            rolling ^= _turned(hashes[i - WINDOW], WINDOW)
-        if words[i] >= LONG_LINE_WORDS or i + 1 == len(lines) or rolling % DIVISOR == 0 or words[i + 1] >= LONG_LINE_WORDS:
-            content = text[starts[first] : ends[i]].rstrip(_SPACE)
+    last = len(ends) - 1
+    first = start = total = before = 0
+    was_long = False
+    for i, end in enumerate(ends):
+        line = text[start:end].rstrip(_SPACE)
+        words = line.count(b" ") + 1 if line else 0
+        now_long = words >= LONG_LINE_WORDS
+        if now_long and first < start and not was_long:
+            content = text[first:start].rstrip(_SPACE)
             if content:
-                yield starts[first], ends[i], sum(words[first : i + 1]), content
-            first = i + 1
+                yield first, start, total, content
+            first, total = start, 0
+        new = xxh64_intdigest(line)
+        rolling = (before << 1 | before >> 63) ^ new  # over two lines
+        total += words
+        if now_long or i == last or rolling % DIVISOR == 0:
+            content = text[first:end].rstrip(_SPACE)
+            if content:
+                yield first, end, total, content
+            first, total = end, 0
+        before, start, was_long = new, end, now_long
 
 
 def runs(spans: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
@@ -80,20 +85,41 @@ def _chunk_hashes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk_hash long")
 
 
-def _sites(rows: DataFrame) -> DataFrame:
-    """``_SITE`` of every chunk."""
+def _filter(repeated: DataFrame) -> bytes:
+    """A bit for the hash of every row (chunk_hash); of fixed size."""
+    bucket = F.pmod("chunk_hash", F.lit(FILTER_BUCKETS))
+    place = F.shiftright("chunk_hash", 12).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = np.zeros((FILTER_BUCKETS, FILTER_BITS // 8), np.uint8)
+    for number, raw in repeated.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place)).collect():
+        bits[number] = np.frombuffer(raw, np.uint8)
+    return bits.tobytes()
+
+
+def _sites(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``_SITE`` of every chunk whose hash is among ``repeated``, and of few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, width = shared.value, FILTER_BITS // 8
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         names = ["doc_id", "text_hash", "chunk_hash", "start", "stop", "words", "chunk"]
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+        found: list[tuple] = []
         for batch in batches:
-            found = [
-                (doc_id, text_hash, xxh64_intdigest(chunk) - 2**63, start, end, words, chunk)
-                for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-                for start, end, words, chunk in chunks(text or b"")
-            ]
-            columns = zip(*found, strict=True) if found else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for start, end, words, chunk in chunks(text or b""):
+                    chunk_hash = xxh64_intdigest(chunk) - 2**63
+                    place = chunk_hash >> 12 & FILTER_BITS - 1
+                    if bits[chunk_hash % FILTER_BUCKETS * width + (place >> 3)] >> (place & 7) & 1:
+                        found.append((doc_id, text_hash, chunk_hash, start, end, words, chunk))
+                if len(found) >= SITES_AT_ONCE:
+                    yield made(found)
+                    found = []
+        if found:
+            yield made(found)
 
     return rows.mapInArrow(run, _SITE)
 
@@ -103,14 +129,13 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text are one document; a null doc_id comes after all others.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     repeated = written(_chunk_hashes(rows).groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash"))
-    found = written(_sites(rows).join(small(repeated), "chunk_hash"))
+    found = written(_sites(rows, repeated).join(repeated, "chunk_hash", "left_semi"))
     site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    firsts = written(found.groupBy("chunk_hash").agg(F.min(site).alias("kept"), F.max(site).alias("last")).where("kept != last").select("chunk_hash", "kept"))
-    marked = found.join(small(firsts), "chunk_hash").withColumn("is_kept", site.eqNullSafe(F.col("kept")))
-    kept = written(marked.where("is_kept").select("chunk_hash", F.col("chunk").alias("kept_chunk")).distinct())
-    again = marked.where("not is_kept").join(small(kept), "chunk_hash").where("chunk = kept_chunk")
+    least = F.min(F.struct(site.alias("site"), "chunk")).alias("kept")
+    firsts = written(found.groupBy("chunk_hash").agg(least, F.max(site).alias("last")).where("kept.site != last").select("chunk_hash", "kept"))
+    again = found.join(firsts, "chunk_hash").where(~site.eqNullSafe(F.col("kept.site")) & (F.col("chunk") == F.col("kept.chunk")))
     return again.select("doc_id", "text_hash", "start", "stop", "words")
 
 

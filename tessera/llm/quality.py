@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_small_batches
+
 #: Documents of each kind, positives and unlabelled, that training reads at most, about.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
@@ -155,7 +157,7 @@ def _extracted(texts: DataFrame, keep: str) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from about ``rows`` trusted positives and ``rows`` unlabelled documents at most,
     both chosen by a hash of the id, none held out. The driver gets their features only."""
-    spark_rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(~held_out())
+    spark_rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(~held_out())
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out())
     share = 1 << 20
 
@@ -187,6 +189,6 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             x = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import written
+from tessera.llm.common import in_small_batches, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             prints = [fingerprint(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:

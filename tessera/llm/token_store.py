@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, remove, small
+from tessera.llm.common import in_small_batches, new_path, remove, small
 from tessera.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
@@ -48,7 +48,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bo
     order, then text; start: ids of the part before the row. Each task adds a row of part -1 with
     how often it met each id, as int64."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.coalesce(_part_of(_range_bounds(rows, parts)), F.lit(0))
     ranged = rows.select(part.cast("int").alias("part"), "doc_id", "text").repartitionById(parts, "part").sortWithinPartitions("doc_id", "text")
@@ -175,7 +175,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "doc_id", "in_part", "n_tokens", "ids"],
                 )
 
-    blocks = spark.read.schema("part int, start long, n_ids long, block binary").parquet(f"{path}/blocks")
+    blocks = in_small_batches(spark.read.schema("part int, start long, n_ids long, block binary").parquet(f"{path}/blocks"))
     parts = spark.read.schema("part int, ids_before long").parquet(f"{path}/parts")
     documents = blocks.select("part", "start", "block").mapInArrow(run, "part int, doc_id long, in_part long, n_tokens long, ids binary")
     return documents.join(small(parts), "part").select("doc_id", (F.col("ids_before") + F.col("in_part")).alias("start"), "n_tokens", "ids")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_small_batches
+
 MEMO_ENTRIES = 600_000
 _automata: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
@@ -115,5 +117,5 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
                 n_tokens.append(sum(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_tokens, np.int64))], ["doc_id", "n_words", "n_tokens"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
