@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_small_batches
+from tessera.llm.tokens import MEMO_ENTRIES, encoder
+
 BLOCK_EXAMPLES = 3_000
 BLOCK_BYTES = 12_000_000
 SEED = 6
@@ -131,21 +134,20 @@ def blocks_for(df: DataFrame, text: str = "text") -> int:
     return max(1, math.ceil(rows / BLOCK_EXAMPLES), math.ceil(size / BLOCK_BYTES))
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), seed: int = SEED) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), seed: int = SEED, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Packs the tokens of ``documents`` (doc_id, text), each with ``end_id`` at its end.
 
     A null text counts as empty: its document is the end id alone. Null ids, repeated rows and
     ties keep a piece each; very long documents are cut; an empty table gives no piece; other
-    columns are ignored. Every token bears loss.
+    columns are ignored. Every token bears loss. ``memo_entries``: words that a Python worker
+    remembers.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("example_id"), F.col("text"))
+    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("example_id"), F.col("text"))
     n = blocks_for(rows)
     dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), "example_id", "text"), F.lit(n)).alias("block"), "example_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.tokens import encoder
-
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, entries=memo_entries)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             ids = [x + end for x in encode.encode(batch.column(2).to_pylist())]

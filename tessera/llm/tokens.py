@@ -25,7 +25,7 @@ _spare = iter(range(256, 512))
 #: How byte-level tokenizers write each byte: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = [chr(b if b in _plain_bytes else next(_spare)) for b in range(256)]
 
-_encoders: dict[tuple[str, bool], MemoEncoder] = {}
+_encoders: dict[tuple[str, bool, int], MemoEncoder] = {}
 
 
 def _steps(path: str, part: str) -> list[dict]:
@@ -46,7 +46,7 @@ class MemoEncoder:
     are given to the library whole.
     """
 
-    def __init__(self, path: str, drops_space: bool) -> None:
+    def __init__(self, path: str, drops_space: bool, entries: int = MEMO_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
@@ -61,6 +61,7 @@ class MemoEncoder:
         self.plain = re.compile(f"{'' if drops_space else ' '}[{LETTERS}]+").fullmatch
         self.lowers = any(x["type"] == "Lowercase" for x in _steps(path, "normalizer"))
         self.model = self.tokenizer.model.tokenize
+        self.entries = entries
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -102,14 +103,14 @@ class MemoEncoder:
             for i, x in enumerate(cut):
                 start, end = end, end + len(x)
                 out.append(whole[i] if i in whole else b"".join(found[start:end]))
-            if len(self.memo) > MEMO_ENTRIES // 2:
+            if len(self.memo) > self.entries // 2:
                 self.older, self.memo = self.memo, {}
         return out
 
 
-def encoder(path: str, drops_space: bool = False) -> MemoEncoder:
+def encoder(path: str, drops_space: bool = False, entries: int = MEMO_ENTRIES) -> MemoEncoder:
     """One encoder for each Python worker and file."""
-    key = (path, drops_space)
+    key = (path, drops_space, entries)
     if key not in _encoders:
-        _encoders[key] = MemoEncoder(path, drops_space)
+        _encoders[key] = MemoEncoder(path, drops_space, entries)
     return _encoders[key]

@@ -13,15 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+
+from tessera.llm.common import in_small_batches
 
 #: Labelled documents that training reads at most, about; the others' labels are not used.
 TRAINING_ROWS = 12_000
 FEATURES = 1_500
 FOLDS = 3
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 
 #: English words that mark a toxic document as one of these kinds as well.
 CATEGORIES = {
@@ -47,10 +51,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 2e-4) -> np.ndarray:
     """Weights and, last, the intercept of a logistic model; full-batch Adam, ridge penalty."""
-    share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    share = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(share / (1 - share))
-    if y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return w
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -127,7 +131,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, fe
     share = 1 << 20
     chosen = every.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(share)) < int(share * min(1.0, rows / max(1, total))))
     # about ``rows`` rows of two numbers
-    training = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    training = in_small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +183,11 @@ def score(documents: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, -1] >= threshold), *(pa.array(p[:, j]) for j in range(len(names)))], ["doc_id", LABEL, *names])
 
     schema = "doc_id long, toxic boolean, " + ", ".join(f"{x} double" for x in names)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def is_toxic(chain: Chain, threshold: float = 0.5):
     """A vectorised function of a text column: whether the chain's last category reaches the threshold."""
-    import pandas as pd
-    from pyspark.sql.pandas.functions import pandas_udf
-
     @pandas_udf("boolean")
     def toxic(text: pd.Series) -> pd.Series:
         return pd.Series([chain.probabilities(x)[-1] >= threshold for x in text], dtype=bool)
