@@ -1,9 +1,8 @@
-"""Repeated passages of lines: content-defined chunks, found by hash, compared by bytes, removed.
+"""Repeated passages of lines: found by the lines' hashes, compared by bytes, removed.
 
 Lines are wrapped where a sentence ends, so that a passage inside a paragraph has lines of its own.
-A rolling hash over the hashes of the last two lines ends a chunk where it is even, and a line of
-12 words or more is a chunk by itself: the same lines are cut at the same places wherever they
-stand. Of the places that hold the same chunk the first stays: the least doc_id, then text hash,
+Each line is a chunk: the same lines are cut at the same places wherever they stand, up to the
+passage's edges. Of the places that hold the same chunk the first stays: the least doc_id, then text hash,
 then place. The other places are cut out of their texts where such chunks, one after the other,
 have 20 words or more.
 """
@@ -21,8 +20,6 @@ from xxhash import xxh64_intdigest
 
 from tessera.llm.common import in_small_batches, small, written
 
-DIVISOR = 2
-LONG_LINE_WORDS = 12
 LEAST_WORDS = 20
 #: Bits of the filter of repeated hashes that tasks get, whatever their number: 16 MB.
 FILTER_BUCKETS, FILTER_BITS = 4096, 32768
@@ -38,27 +35,12 @@ def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     ends = [m.end() for m in _LINE_ENDS(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    last = len(ends) - 1
-    first = start = total = before = 0
-    was_long = False
-    for i, end in enumerate(ends):
+    start = 0
+    for end in ends:
         line = text[start:end].rstrip(_SPACE)
-        words = line.count(b" ") + 1 if line else 0
-        now_long = words >= LONG_LINE_WORDS
-        if now_long and first < start and not was_long:
-            content = text[first:start].rstrip(_SPACE)
-            if content:
-                yield first, start, total, content
-            first, total = start, 0
-        new = xxh64_intdigest(line)
-        rolling = (before << 1 | before >> 63) ^ new  # over two lines
-        total += words
-        if now_long or i == last or rolling % DIVISOR == 0:
-            content = text[first:end].rstrip(_SPACE)
-            if content:
-                yield first, end, total, content
-            first, total = end, 0
-        before, start, was_long = new, end, now_long
+        if line:
+            yield start, end, line.count(b" ") + 1, line
+        start = end
 
 
 def runs(spans: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
