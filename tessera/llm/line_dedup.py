@@ -31,16 +31,23 @@ _SPACE = b" \n"
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, content) of each chunk with content: bytes ``start`` to ``end``, without
-    a separator at its end in ``content``. Chunks without content are left out."""
+    separators at its end in ``content``. Blank lines belong to the chunk before them; those at the
+    start are left out."""
     ends = [m.end() for m in _LINE_ENDS(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    start = 0
+    start, held = 0, None
     for end in ends:
         line = text[start:end].rstrip(_SPACE)
         if line:
-            yield start, end, line.count(b" ") + 1, line
+            if held:
+                yield held
+            held = start, end, line.count(b" ") + 1, line
+        elif held:
+            held = held[0], end, held[2], held[3]
         start = end
+    if held:
+        yield held
 
 
 def runs(spans: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int]]:

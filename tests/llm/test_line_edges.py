@@ -25,3 +25,9 @@ def test_passages_of_short_lines_go_whole(spark, rng):
     passages = ["\n".join(line(rng, words) for _ in range(lines)) for lines, words in shapes for _ in range(10)]
     around = lambda rng, before=True: "".join(f"{line(rng, 7)}\n" if before else f"\n{line(rng, 7)}" for _ in range(4))
     assert min(share_removed(spark, rng, passages, around)) == 1
+
+
+def test_blank_lines_do_not_break_a_passage(spark, rng):
+    passages = ["\n\n".join(line(rng, rng.choice(sizes)) for _ in range(10)) for sizes in ([12, 15, 19], [3, 6, 9]) for _ in range(3)]
+    around = lambda rng, before=True: f"{line(rng, 30)}\n\n" if before else f"\n\n{line(rng, 30)}"
+    assert min(share_removed(spark, rng, passages, around)) == 1
