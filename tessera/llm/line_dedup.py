@@ -1,7 +1,8 @@
 """Repeated passages of lines: found by the lines' hashes, compared by bytes, removed.
 
 Lines are wrapped where a sentence ends, so that a passage inside a paragraph has lines of its own.
-Each line is a chunk: the same lines are cut at the same places wherever they stand, up to the
+A line of over 64 words is cut where the hash of two words is less than those of the three before
+and after it, so that its pieces move with a passage in it. Each line or piece is a chunk: the same lines are cut at the same places wherever they stand, up to the
 passage's edges. Of the places that hold the same chunk the first stays: the least doc_id, then text hash,
 then place. The other places are cut out of their texts where such chunks, one after the other,
 have 20 words or more.
@@ -21,14 +22,47 @@ from xxhash import xxh64_intdigest
 from tessera.llm.common import in_small_batches, small, written
 
 LEAST_WORDS = 20
+#: Lines of more words are cut inside; a cut's hash is the least of as many on each side. Where
+#: writing has no spaces, so many bytes count as a word.
+WRAP_WORDS, WRAP_REACH = 64, 3
+BYTES_A_WORD = 9
 #: Bits of the filter of repeated hashes that tasks get, whatever their number: 16 MB.
 FILTER_BUCKETS, FILTER_BITS = 4096, 32768
 #: Chunks that a task hands over at once.
 SITES_AT_ONCE = 10_000
-_LINE_ENDS = re.compile(rb"(?<=[.!?]) |\n").finditer
+#: Also after a full stop, exclamation or question mark of Chinese and Japanese.
+_LINE_ENDS = re.compile("(?<=[.!?]) |\n|(?<=\u3002)|(?<=\uff01)|(?<=\uff1f)".encode()).finditer
+_WORD_ENDS = re.compile("(?: |\u3001|\uff0c|\uff1b|\uff1a)".encode()).finditer
 _SPACE = b" \n"
 
 
+def _words(line: bytes) -> int:
+    spaces = line.count(b" ")
+    return spaces + 1 if line.isascii() else max(spaces + 1, len(line) // BYTES_A_WORD)
+
+
+def _inner_ends(line: bytes) -> list[int]:
+    """Where a long line is cut; text that repeats within the reach is not."""
+    ends = [0, *(m.end() for m in _WORD_ENDS(line))]
+    size = len(ends) - 2
+    if size <= 2 * WRAP_REACH:
+        return []
+    two = np.fromiter((xxh64_intdigest(line[ends[i] : ends[i + 2]]) for i in range(size)), np.uint64, size)
+    around = np.lib.stride_tricks.sliding_window_view(two, 2 * WRAP_REACH + 1)
+    others = np.delete(around, WRAP_REACH, axis=1).min(axis=1)
+    return [ends[i + WRAP_REACH + 1] for i in np.flatnonzero(around[:, WRAP_REACH] < others)]
+
+
+def _with_inner(text: bytes, ends: list[int]) -> list[int]:
+    out, start = [], 0
+    for end in ends:
+        if end - start > 2 * WRAP_WORDS and _words(line := text[start:end].rstrip(_SPACE)) > WRAP_WORDS:
+            out += [start + x for x in _inner_ends(line)]
+        out.append(end)
+        start = end
+    return out
+
+
 def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, content) of each chunk with content: bytes ``start`` to ``end``, without
     separators at its end in ``content``. Blank lines belong to the chunk before them; those at the
@@ -36,13 +70,15 @@ def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     ends = [m.end() for m in _LINE_ENDS(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
+    if len(text) > 2 * WRAP_WORDS:
+        ends = _with_inner(text, ends)
     start, held = 0, None
     for end in ends:
         line = text[start:end].rstrip(_SPACE)
         if line:
             if held:
                 yield held
-            held = start, end, line.count(b" ") + 1, line
+            held = start, end, _words(line), line
         elif held:
             held = held[0], end, held[2], held[3]
         start = end
