@@ -63,14 +63,18 @@ def _shift_right(x: Column, by: Column) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, k, m, words, hashes, shingles, counts, fp) of the items that have words."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0)
+    """(item, item_id, n, k, m, hashes, shingles, counts, fp) of the items that have words, each once.
+
+    ``item`` tells apart different words under one item_id, or under none.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0).distinct()
+    rows = rows.withColumn("item", F.xxhash64("item_id", "words"))
     made = []
     for k in range(1, WORDS + 1):
         of = rows.where(F.size("words") == k if k < WORDS else F.size("words") >= k)
         every = _shingles(F.col("words"), k)
         made.append(
-            of.select("item_id", F.size("words").alias("n"), F.lit(k).alias("k"), _shingle_hashes(F.col("words"), k).alias("hashes"), every.alias("every"))
+            of.select("item", "item_id", F.size("words").alias("n"), F.lit(k).alias("k"), _shingle_hashes(F.col("words"), k).alias("hashes"), every.alias("every"))
             .select("*", F.size("hashes").alias("m"), F.array_distinct("every").alias("shingles"), simhash(F.col("hashes")).alias("fp"))
             .withColumn("counts", F.transform("shingles", lambda s: F.size(F.filter("every", lambda x: x == s))))
             .drop("every")
@@ -81,9 +85,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _anchors(items: DataFrame) -> DataFrame:
     """(k, anchor, n): hashes one of which each matching window of n words must hold; those that
     the fewest items share are taken."""
-    each = items.select("item_id", "n", "k", "m", F.explode("hashes").alias("hash"))
-    rare = each.join(each.select("item_id", "hash").distinct().groupBy("hash").agg(F.count("*").alias("shared")), "hash")
-    ranked = rare.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("shared", "hash")))
+    each = items.select("item", "n", "k", "m", F.explode("hashes").alias("hash"))
+    rare = each.join(each.select("item", "hash").distinct().groupBy("hash").agg(F.count("*").alias("shared")), "hash")
+    ranked = rare.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("shared", "hash")))
     return ranked.where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * SIMILARITY - 1e-9) + 1).select("k", F.col("hash").alias("anchor"), "n").distinct()
 
 
@@ -122,10 +126,10 @@ def _block(fp: Column, at: Column) -> Column:
 
 
 def _index(items: DataFrame) -> DataFrame:
-    """(n, block, value, item_id, item_fp): each block as it is and with each bit flipped."""
+    """(n, block, value, item, item_fp): each block as it is and with each bit flipped."""
     flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(8))]])
     blocks = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    return blocks.select("n", "block", F.explode(F.transform(flips, lambda x: _block(F.col("fp"), F.col("block")).bitwiseXOR(x))).alias("value"), "item_id", F.col("fp").alias("item_fp"))
+    return blocks.select("n", "block", F.explode(F.transform(flips, lambda x: _block(F.col("fp"), F.col("block")).bitwiseXOR(x))).alias("value"), "item", F.col("fp").alias("item_fp"))
 
 
 def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -135,7 +139,7 @@ def _matches(windows: DataFrame, items: DataFrame, k: int) -> DataFrame:
     pairs = probes.join(index, ["n", "block", "value"]).withColumn("differ", F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.bit_count(_block(F.col("differ"), j)) <= 1)
     pairs = pairs.where((F.array_position(near, True) == F.col("block") + 1) & (F.bit_count("differ") <= RADIUS))
-    pairs = pairs.join(small(items.select("item_id", "m", "shingles", "counts")), "item_id")
+    pairs = pairs.join(small(items.select("item", "item_id", "m", "shingles", "counts")), "item")
     common = F.aggregate(
         F.arrays_zip("shingles", "counts"),
         F.lit(0),
@@ -153,7 +157,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts match nothing, nor do items without words. Items of fewer than five words
     are one shingle. Rows with a null id are told apart by the text's hash; rows equal in both are
-    one. Empty tables give an empty result; other columns are ignored.
+    one. Every text of an item_id is searched for, null included; the best of them counts. Empty tables give an empty result; other columns are ignored.
     """
     items = _items(benchmark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
