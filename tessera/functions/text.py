@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{IsAlphabetic}\p{N}_-]+"
 LEAST_TOKEN_BYTES = 2
 EXTENSIONS = ("txt", "pdf", "docx", "doc")
+HEAD_TOKENS = 16
 
 
 def _col(c: Column | str) -> Column:
@@ -24,18 +26,17 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.filter(runs, lambda t: F.octet_length(t) >= LEAST_TOKEN_BYTES), F.lower)
 
 
+_runs = regex.compile(TOKEN_PATTERN.replace("IsAlphabetic", "Alphabetic")).findall
+
+
 def token_list(text: str) -> list[str]:
     """``tokens`` of a query string, in plain Python, where no session is at hand."""
-    out, run = [], []
-    for c in [*text, " "]:
-        if c.isalnum() or c in "-_":
-            run.append(c)
-        elif run:
-            word = "".join(run)
-            if len(word.encode()) >= LEAST_TOKEN_BYTES:
-                out.append(word.lower())
-            run = []
-    return out
+    return [run.lower() for run in _runs(text) if len(run.encode()) >= LEAST_TOKEN_BYTES]
+
+
+def head(items: Column | str, most: int = HEAD_TOKENS) -> Column:
+    """The first entries of an array."""
+    return F.slice(_col(items), 1, most)
 
 
 def unicode_trim(text: Column | str) -> Column:

@@ -1,4 +1,8 @@
-"""BM25 over DataFrames: persisted postings for many queries, one narrow pass for a single query."""
+"""BM25 over DataFrames: persisted postings for many queries, one narrow pass for a single query.
+
+Each row of a corpus (doc_id, text) is a document of its own; rows that share a doc_id give hits
+that share it. A null text is a document without tokens.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scores import idf, tf_weight
 from tessera.functions.text import token_list, tokens
+from tessera.scratch import small, written
 
-HITS = "doc_id long, score double"
 LARGE_K = 100_000
 
 
+def no_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, score) without a row, the key of the type that it has in ``rows``."""
+    return rows.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+
+
 def tokenized(corpus: DataFrame) -> DataFrame:
     """(doc_id, tokens, dl) of ``corpus`` (doc_id, text). The generator keeps the optimizer from
     copying the tokenizer into every expression that reads the tokens."""
@@ -30,9 +39,29 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _runs(of: Column) -> Column:
+    """array<struct<term, tf>> of a sorted array: where its equal entries start, and how many."""
+    n = F.size(of)
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1)))
+    starts = F.when(n > 0, first).otherwise(F.array().cast("array<int>"))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
+    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.struct(F.get(of, a).alias("term"), (b - a).cast("long").alias("tf")))
+
+
+def counted(corpus: DataFrame) -> DataFrame:
+    """(doc_id, dl, counts array<struct<term, tf>>): terms are counted in the row that holds them,
+    so nothing is shuffled."""
+    rows = tokenized(corpus).select("doc_id", "dl", F.explode(F.array(F.sort_array("tokens"))).alias("tokens"))
+    return rows.select("doc_id", "dl", _runs(F.col("tokens")).alias("counts"))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.inline("counts")).select("term", "doc_id", "tf")
+
+
 def postings(corpus: DataFrame) -> DataFrame:
     """(term, doc_id, tf)."""
-    return tokenized(corpus).select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return _postings(counted(corpus))
 
 
 def document_frequencies(posting_rows: DataFrame) -> DataFrame:
@@ -50,9 +79,9 @@ class Bm25Index:
 
     @classmethod
     def build(cls, corpus: DataFrame) -> Bm25Index:
-        rows = postings(corpus)
-        lengths = doc_lengths(corpus)
-        return cls(rows, lengths, document_frequencies(rows), corpus_stats(lengths))
+        rows = written(counted(corpus))
+        lengths = rows.select("doc_id", "dl")
+        return cls(_postings(rows), lengths, document_frequencies(_postings(rows)), corpus_stats(lengths))
 
     def save(self, path: str) -> Bm25Index:
         """Postings are written in term order, so that a query's terms prune row groups."""
@@ -70,46 +99,61 @@ class Bm25Index:
     def __len__(self) -> int:
         return self.stats.first()["n"]
 
+    def added(self, corpus: DataFrame) -> Bm25Index:
+        """The index with the documents of ``corpus`` as well; ids are expected to be new. Only
+        they are tokenized."""
+        more = Bm25Index.build(corpus)
+        rows, lengths = self.postings.unionByName(more.postings), self.lengths.unionByName(more.lengths)
+        both = self.frequencies.unionByName(more.frequencies).groupBy("term").agg(F.sum("df").alias("df"))
+        return Bm25Index(rows, lengths, both, corpus_stats(lengths))
+
+    def cleared(self) -> Bm25Index:
+        """An index of the same types without a document."""
+        lengths = self.lengths.where(F.lit(False))
+        return Bm25Index(self.postings.where(F.lit(False)), lengths, self.frequencies.where(F.lit(False)), corpus_stats(lengths))
+
     def search(self, query: str, k: int | None) -> DataFrame:
         """(doc_id, score), best first, ties by doc_id; terms that the query repeats count again."""
         counts = Counter(token_list(query))
         spark = self.postings.sparkSession
         if not counts or (k is not None and k <= 0):
-            return spark.createDataFrame([], HITS)
+            return no_hits(self.lengths)
         # a query's own terms: a handful
         terms = F.broadcast(spark.createDataFrame(list(counts.items()), "term string, qtf long"))
         found = self.postings.where(F.col("term").isin(*counts)).join(terms, "term")
         found = found.join(F.broadcast(self.frequencies.where(F.col("term").isin(*counts))), "term")
-        return best(_scored(found.join(self.lengths, "doc_id", "left"), self.stats, []), k)
+        return best(_scored(found.join(self.lengths, "doc_id", "left"), self.stats), k)
 
 
-def _scored(found: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+def _scored(found: DataFrame, stats: DataFrame) -> DataFrame:
     """Sums of the terms' weights for each document; ``found``: term, doc_id, tf, dl, df, qtf."""
     one = F.coalesce(F.col("dl"), F.lit(0))
     weight = F.col("qtf") * idf(F.col("n"), F.col("df")) * tf_weight(F.col("tf"), one, F.col("avgdl"))
     # stats is one row
-    return found.crossJoin(F.broadcast(stats)).groupBy(*by, "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return found.crossJoin(F.broadcast(stats)).groupBy("doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def best(scored: DataFrame, k: int | None, key: str = "doc_id") -> DataFrame:
-    """The k rows of highest score, ties by key; all of them, unsorted, for None.
+    """The k rows of highest score, ties by key, best first; all of them, unsorted, for None.
 
-    A small k is a heap in each task; a k that no heap should hold is first brought down to the
-    number of rows.
+    A small k is a heap in each task; a k that no heap should hold and that is at least the number
+    of rows is a sort.
     """
-    if k is None or (k > LARGE_K and k >= scored.count()):
+    if k is None:
         return scored
-    return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
+    ordered = scored.orderBy(F.desc("score"), F.asc(key))
+    return ordered if k > LARGE_K and k >= scored.count() else ordered.limit(k)
 
 
 def search_corpus(corpus: DataFrame, query: str, k: int | None) -> DataFrame:
     """The same hits without an index: each document's counts of the query's terms are taken in
-    one narrow pass, so that only sums and the best k are shuffled."""
+    one narrow pass and written, so that only sums and the best k are shuffled."""
     counts = Counter(token_list(query))
     if not counts or (k is not None and k <= 0):
-        return corpus.sparkSession.createDataFrame([], HITS)
+        return no_hits(corpus)
     words = list(counts)
-    each = tokenized(corpus).select("doc_id", "dl", *(F.size(F.filter("tokens", _is(w))).alias(f"tf{i}") for i, w in enumerate(words)))
+    # a few numbers for each document
+    each = written(tokenized(corpus).select("doc_id", "dl", *(F.size(F.filter("tokens", _is(w))).alias(f"tf{i}") for i, w in enumerate(words))))
     stats = each.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     hits = each.where(" or ".join(f"tf{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))
     score = sum((counts[w] * idf(F.col("n"), F.col(f"df{i}")) * tf_weight(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl")) for i, w in enumerate(words)), F.lit(0.0))
@@ -126,14 +170,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, doc_id, score): the best k documents of every query, ties by doc_id."""
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    rows = tokenized(corpus)
-    each = rows.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    found = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    found = found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").join(terms, "term")
-    scored = _scored(found, corpus_stats(rows.select("doc_id", "dl")), ["query_id"])
+    """(query_id, rank, doc_id, score): the best k documents of every query, ties by doc_id.
+
+    The corpus is tokenized once, into a table of counts. A document's hits are brought together
+    by the number of its row before its terms meet the queries that hold them: the sums of a pair
+    of query and document need no exchange, and each task sends its best k a query.
+    """
+    terms = written(query_terms(queries))
+    vocabulary = written(terms.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()))
+    rows = written(counted(corpus).withColumn("row", F.monotonically_increasing_id()))
+    stats = corpus_stats(rows.select("dl"))
+    found = rows.select("row", "doc_id", "dl", F.inline("counts")).join(small(vocabulary), "term")
+    frequencies = written(found.groupBy("term_no").agg(F.count("*").alias("df")))
+    # stats is one row
+    weighted = found.join(small(frequencies), "term_no").crossJoin(F.broadcast(stats))
+    weight = idf(F.col("n"), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    by_row = weighted.select("row", "doc_id", "term_no", weight.alias("weight")).repartition("row")
+    asked = written(terms.join(vocabulary, "term").select("term_no", "query_id", "qtf"))
+    pairs = by_row.join(small(asked), "term_no").groupBy("row", "query_id")
+    scored = pairs.agg(F.first("doc_id").alias("doc_id"), F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
     return ranked_by_query(scored, k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import l2_normalized
@@ -12,18 +12,30 @@ WIDTH = 254
 HOP = 50
 
 
+def _starts(n_tokens: Column, width: int, hop: int) -> Column:
+    last = F.lit(hop) * F.greatest(F.lit(0), F.ceil((n_tokens - width) / F.lit(hop))).cast("int")
+    return F.sequence(F.lit(0), last, F.lit(hop))
+
+
 def chunk_plan(lengths: DataFrame, width: int = WIDTH, hop: int = HOP) -> DataFrame:
-    """(doc_id, chunk, pos, end) for ``lengths`` (doc_id, n_tokens); the last window ends at the
-    text's end, and a text of at most ``width`` tokens is one window."""
-    last = F.lit(hop) * F.greatest(F.lit(0), F.ceil((F.col("n_tokens") - width) / F.lit(hop))).cast("int")
-    starts = lengths.select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), last, F.lit(hop))).alias("chunk", "pos"))
+    """(doc_id, chunk, pos, end) for each row of ``lengths`` (doc_id, n_tokens), repeated ids
+    included; the last window ends at the text's end, and a text of at most ``width`` tokens is
+    one window."""
+    starts = lengths.select("doc_id", "n_tokens", F.posexplode(_starts(F.col("n_tokens"), width, hop)).alias("chunk", "pos"))
     return starts.select("doc_id", "chunk", "pos", F.least(F.col("pos") + width, F.col("n_tokens")).cast("int").alias("end"))
 
 
 def chunks(documents: DataFrame, width: int = WIDTH, hop: int = HOP) -> DataFrame:
-    """(doc_id, chunk, pos, end, tokens) of ``documents`` (doc_id, tokens)."""
-    plan = chunk_plan(documents.select("doc_id", F.size("tokens").alias("n_tokens")), width, hop)
-    return plan.join(documents.select("doc_id", "tokens"), "doc_id").withColumn("tokens", F.slice("tokens", F.col("pos") + 1, F.col("end") - F.col("pos")))
+    """(doc_id, chunk, pos, end, tokens) of each row of ``documents`` (doc_id, tokens).
+
+    The windows are cut in the row that holds the tokens, so repeated ids don't mix. Null tokens
+    count as none: one empty window.
+    """
+    rows = documents.select("doc_id", F.coalesce("tokens", F.array().cast(documents.schema["tokens"].dataType)).alias("tokens"))
+    n = F.size("tokens")
+    window = lambda pos: F.struct(pos.alias("pos"), F.least(pos + width, n).cast("int").alias("end"), F.slice("tokens", pos + 1, F.lit(width)).alias("tokens"))
+    each = rows.select("doc_id", F.posexplode(F.transform(_starts(n, width, hop), window)).alias("chunk", "window"))
+    return each.select("doc_id", "chunk", "window.*")
 
 
 def mean_pooled(vectors: DataFrame, by: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from tessera.functions.scores import cosine, dot, l2_norm
-from tessera.operators.bm25 import best, ranked_by_query
-
-HITS = "doc_id long, score double"
+from tessera.functions.scores import dot, l2_norm
+from tessera.operators.bm25 import best, no_hits, ranked_by_query
 
 
 def with_norms(vectors: DataFrame) -> DataFrame:
@@ -25,9 +28,8 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int | None) -> DataFram
     Empty for k of 0, for a query without length, and where the dimensions differ.
     """
     size = math.sqrt(sum(x * x for x in query))
-    spark = vectors.sparkSession
     if (k is not None and k <= 0) or size == 0:
-        return spark.createDataFrame([], HITS)
+        return no_hits(vectors)
     literal = F.array(*[F.lit(float(x)) for x in query])
     fitting = vectors.where(F.size("embedding") == len(query))
     norm = F.col("norm") if "norm" in vectors.columns else l2_norm(F.col("embedding"))
@@ -35,24 +37,84 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int | None) -> DataFram
     return best(fitting.select("doc_id", F.round(score, 6).alias("score")), k)
 
 
-#: Queries of a batch whose vectors are sent to every task; more go in several passes.
+#: Queries of a batch whose vectors are sent to every task; more go in several passes. Rows of
+#: vectors that are multiplied with them at once.
 QUERIES_AT_ONCE = 2_000
+ROWS_AT_ONCE = 2_000
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """The rows of equally long lists without nulls."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def _complete(lists: pa.Array) -> pa.Array:
+    """Which entries are lists without a null inside."""
+    holes = pc.is_in(pa.array(np.arange(len(lists))), pc.filter(pc.list_parent_indices(lists), pc.is_null(pc.list_flatten(lists))).cast(pa.int64()))
+    return pc.and_(pc.is_valid(lists), pc.invert(holes))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those without length stay."""
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(size == 0, 1, size)
+
+
+def _best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest scores of each row, of equal ones those further left."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.divmod(np.arange(scores.size), max(n, 1))
+    least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    above, equal = scores > least, scores == least
+    equal &= np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | equal)
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score) of every query (query_id, query_vec) against all vectors.
 
-    The stated queries go against all rows block by block; each block is small enough to send.
+    The stated queries go against all rows block by block; each block is small enough to send, and
+    each batch of rows hands on its best k of a query. Vectors without length score 0; queries
+    without length, nulls, and vectors of another dimension or with a null inside find nothing.
     """
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERIES_AT_ONCE))
+    names = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
+    schema = StructType().add("query_id", names[0]).add("doc_id", names[1]).add("score", DoubleType())
+    spark = queries.sparkSession
+    blocks = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
+    rows = vectors.select("doc_id", "embedding").where("embedding is not null")
     parts = []
-    for i in range(blocks):
+    for i in range(blocks if k > 0 else 0):
         some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        pairs = vectors.select("doc_id", "embedding").join(F.broadcast(some), F.size("embedding") == F.size("query_vec"))
-        scored = pairs.where(l2_norm(F.col("query_vec")) > 0).select("query_id", "doc_id", F.round(cosine(F.col("query_vec"), F.col("embedding")), 6).alias("score"))
-        parts.append(ranked_by_query(scored, k))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionAll(more)
-    return out
+        # about QUERIES_AT_ONCE rows
+        shared = spark.sparkContext.broadcast(some.select("query_id", "query_vec").where("query_vec is not null").toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            asked = asked.filter(_complete(asked.column(1).combine_chunks()))
+            sizes = pc.list_value_length(asked.column(1)).to_numpy()
+            units = {}
+            for size in np.unique(sizes):
+                of = asked.filter(pa.array(sizes == size))
+                unit = _unit(_matrix(of.column(1).combine_chunks()))
+                some = np.flatnonzero(unit.any(axis=1))
+                units[int(size)] = of.column(0).combine_chunks().take(pa.array(some)), unit[some]
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(at, ROWS_AT_ONCE)
+                    part = part.filter(_complete(part.column(1)))
+                    part = part.take(pc.sort_indices(part.column(0)))
+                    lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                    for size, (ids, unit) in units.items():
+                        fitting = part.filter(pa.array(lengths == size))
+                        if not fitting.num_rows or not len(ids):
+                            continue
+                        scores = np.round(unit @ _unit(_matrix(fitting.column(1))).T, 6) + 0.0
+                        row, column = _best_of(scores, k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), fitting.column(0).take(pa.array(column)), pa.array(scores[row, column])], ["query_id", "doc_id", "score"])
+
+        parts.append(ranked_by_query(rows.mapInArrow(run, schema), k))
+    if not parts:
+        return ranked_by_query(spark.createDataFrame([], schema), k)
+    return reduce(DataFrame.unionAll, parts)

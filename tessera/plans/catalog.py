@@ -6,13 +6,20 @@ point noise cannot reorder rows.
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
+from functools import reduce
+from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
 from tessera.operators import bm25, chunking, fusion, preview, snapshots, vectors
+from tessera.scratch import new_path, written
+from tessera.sources import files
+from tessera.sources.store import SnapshotStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,6 +190,38 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search_batch(_corpus(spark, sf_dir), _user_turns(spark, sf_dir), 5)
 
 
+_SQL_THREE = " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS query_id, (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM (WITH {_sql_bm25(q)} SELECT doc_id, score FROM hits)"
+    for i, q in enumerate((QUERY, REPEATED, UNKNOWN, "?"))
+)
+
+
+@_query(_SQL_THREE)
+def bm25_batch_vs_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame(list(enumerate((QUERY, REPEATED, UNKNOWN, "?"))), "query_id long, query string")
+    return bm25.search_batch(_corpus(spark, sf_dir), asked, K)
+
+
+@_query(f"WITH {_sql_bm25(QUERY)} SELECT doc_id, score FROM hits")
+def bm25_added_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of one half of the ids to which the other half is added."""
+    corpus = _corpus(spark, sf_dir)
+    half = F.col("doc_id") % 2 == 0
+    return bm25.Bm25Index.build(corpus.where(half)).added(corpus.where(~half)).search(QUERY, K)
+
+
+@_query(f"SELECT doc_id, array_to_string({_sql_tokens('text')}[1:16], ' ') AS head FROM documents")
+def token_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.tokenized(_corpus(spark, sf_dir)).select("doc_id", F.array_join(text.head("tokens"), " ").alias("head"))
+
+
+@_query(f"SELECT doc_id, len(list_filter({_sql_tokens('text')}, lambda x: strlen(x) = 5))::INT AS n FROM documents")
+def count_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often one id stands among a text's ids; here an id is its token's bytes."""
+    rows = bm25.tokenized(_corpus(spark, sf_dir)).select("doc_id", F.transform("tokens", F.octet_length).alias("ids"))
+    return rows.select("doc_id", text.count_id("ids", 5).alias("n"))
+
+
 # --- vectors
 
 
@@ -264,11 +303,47 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fused) WHERE rank <= {K}"""
 )
 def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _paired(spark, sf_dir)
+    pairs = written(_paired(spark, sf_dir))
     asked = pairs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"))
     return fusion.top_k_hybrid_batch(pairs, asked, K)
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+
+
+_SQL_NAMED = f"SELECT 'd' || doc_id AS doc_id, text, v FROM ({_SQL_PAIRED})"
+
+
+@_query(
+    f"""WITH vecs AS (SELECT doc_id, v FROM ({_SQL_NAMED})), {_sql_cosine(5 * K)}
+    SELECT doc_id, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 6)::DOUBLE AS score FROM near ORDER BY score DESC, doc_id LIMIT {K}"""
+)
+def hybrid_no_token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String keys, and a query in which the tokenizer finds nothing."""
+    return fusion.top_k_hybrid(_named(_paired(spark, sf_dir)), "?", _query_vec(spark, sf_dir), K)
+
+
+@_query(
+    f"""WITH pairs AS ({_SQL_NAMED}), {_sql_bm25(QUERY, 'pairs', 5 * K)}
+    SELECT doc_id, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 6)::DOUBLE AS score FROM hits ORDER BY score DESC, doc_id LIMIT {K}"""
+)
+def hybrid_zero_vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String keys, and a query whose vector has no length."""
+    return fusion.top_k_hybrid(_named(_paired(spark, sf_dir)), QUERY, [0.0] * 64, K)
+
+
+@_query(
+    f"""WITH v AS (SELECT doc_id % 97 AS doc_id, max(doc_id + 1) AS r FROM documents GROUP BY 1), b AS (SELECT doc_id % 89 AS doc_id, max(doc_id + 1) AS r FROM documents GROUP BY 1)
+    SELECT doc_id, round(coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6)::DOUBLE AS score FROM v FULL OUTER JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT {K}"""
+)
+def rrf_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that a list repeats counts with its last, worst rank."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id")
+    ranked = lambda by, name: rows.select((F.col("doc_id") % by).alias("doc_id"), (F.col("doc_id") + 1).alias(name))
+    return fusion.fuse(ranked(97, "v_rank"), ranked(89, "b_rank"), K)
+
+
 # --- windows of tokens
 
 
@@ -336,6 +411,57 @@ def preview_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview.preview_lines(_corpus(spark, sf_dir), PREVIEW).where("matches").select("doc_id", "line_no", "line")
 
 
+@_query("SELECT doc_id, strlen(text) > 40000 AS is_cut FROM documents")
+def preview_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("doc_id", preview.is_cut(F.col("text")).alias("is_cut"))
+
+
+# --- files: texts, pages and names as the three kinds of files
+
+_SQL_TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))"
+
+
+def _as_docx(markup: pd.Series) -> pd.Series:
+    def one(x: str) -> bytes:
+        out = BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("word/document.xml", x)
+        return out.getvalue()
+
+    return markup.map(one)
+
+
+def _as_pdf(words: pd.Series) -> pd.Series:
+    return words.map(lambda x: b"%PDF-1.4\n1 0 obj<</Length 9>>stream\nBT (" + x.encode() + b") Tj ET\nendstream endobj")
+
+
+@_query(
+    f"""SELECT 'd' || doc_id || '.txt' AS path, {_SQL_TRIM.format("text")} AS text, NULL::VARCHAR AS error FROM documents
+    UNION ALL SELECT 'p' || page_id || '.docx', {_SQL_TRIM.format("regexp_replace(html, '<[^>]*>?|>', '', 'g')")}, NULL FROM pages
+    UNION ALL SELECT 'n' || n_nationkey || '.pdf', n_name, NULL FROM nation
+    UNION ALL SELECT 'r' || r_regionkey || '.docx', '', 'unreadable' FROM region"""
+)
+def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of plain, DOCX and PDF files, and of files that are not what their names say."""
+    kinds = [
+        ("documents", F.concat(F.lit("d"), "doc_id", F.lit(".txt")), F.col("text").cast("binary")),
+        ("pages", F.concat(F.lit("p"), "page_id", F.lit(".docx")), F.pandas_udf(_as_docx, "binary")("html")),
+        ("nation", F.concat(F.lit("n"), "n_nationkey", F.lit(".pdf")), F.pandas_udf(_as_pdf, "binary")("n_name")),
+        ("region", F.concat(F.lit("r"), "r_regionkey", F.lit(".docx")), F.col("r_name").cast("binary")),
+    ]
+    made = [_table(spark, sf_dir, n).select(path.alias("path"), F.lit(None).cast("timestamp").alias("mtime"), content.alias("content")) for n, path, content in kinds]
+    rows = files.extract(reduce(DataFrame.unionAll, made))
+    return rows.select("path", "text", F.when(F.col("error").isNotNull(), "unreadable").alias("error"))
+
+
+@_query("SELECT 'd' || doc_id AS path, sha256(text) AS hash, 64 AS dimension, (SELECT count(*) FROM documents JOIN embeddings ON doc_id = vec_id) AS size FROM documents JOIN embeddings ON doc_id = vec_id")
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a snapshot store reads back of the records that it published."""
+    rows = _named(_paired(spark, sf_dir)).select(F.col("doc_id").alias("path"), F.lit(None).cast("timestamp").alias("mtime"), F.sha2("text", 256).alias("hash"), "text", F.lit(None).cast("string").alias("error"), "embedding")
+    now = SnapshotStore(spark, new_path(spark)).publish(rows)
+    return now.records.select("path", "hash", F.lit(now.dimension).alias("dimension"), F.lit(len(now)).cast("long").alias("size"))
+
+
 # --- snapshots: documents are the records; the disk has lost a source, changed a language and got the pages
 
 _SQL_SNAPSHOTS = """WITH records AS (SELECT 'd' || doc_id AS path, sha256(text) AS hash, text FROM documents),
@@ -378,6 +504,13 @@ def snapshot_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.kept(*_snapshots(spark, sf_dir)).select("path", "hash")
 
 
+@_query(f"{_SQL_SNAPSHOTS} SELECT false AS differing, true AS itself")
+def snapshot_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disk, records = _snapshots(spark, sf_dir)
+    found = snapshots.same(disk, records), snapshots.same(records, records)
+    return spark.createDataFrame([found], "differing boolean, itself boolean")
+
+
 @_query(f"{_SQL_SNAPSHOTS} SELECT path, hash FROM disk")
 def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     disk, records = _snapshots(spark, sf_dir)

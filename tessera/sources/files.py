@@ -52,10 +52,16 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(listed(root), LISTED)
 
 
+#: Bytes of files that a task hands over at once.
+READ_BYTES = 8_000_000
+
+
 def read_files(paths: DataFrame, tolerant: bool = False) -> DataFrame:
     """``FILES`` for ``paths``; an unreadable file raises or, with ``tolerant``, is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, mtime in zip(batch["path"], batch["mtime"], strict=True):
                 try:
@@ -65,7 +71,13 @@ def read_files(paths: DataFrame, tolerant: bool = False) -> DataFrame:
                     if not tolerant:
                         raise
                     continue
-                yield pd.DataFrame({"path": [path], "mtime": [mtime], "content": [content]})
+                held.append((path, mtime, content))
+                size += len(content)
+                if size >= READ_BYTES:
+                    yield pd.DataFrame(held, columns=["path", "mtime", "content"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", "mtime", "content"])
 
     return paths.select("path", "mtime").repartition("path").mapInPandas(run, FILES)
 

@@ -91,8 +91,12 @@ class Snapshot:
 
 @dataclass
 class SnapshotStore:
+    """``kept``: how many of the newest versions stay. Readers of an older one, such as a query
+    that runs longer than it takes to publish as many, lose their files."""
+
     spark: SparkSession
     root: str
+    kept: int = 3
 
     def publish(self, records: DataFrame) -> Snapshot:
         """Writes ``RECORDS`` and what is derived from them, then moves the pointer to them."""
@@ -105,8 +109,21 @@ class SnapshotStore:
         manifest = {"magic": MAGIC, "format": FORMAT, "dimension": first["n"] if first else 0, "size": written.count()}
         _write_text(self.spark, f"{version}/manifest.json", json.dumps(manifest))
         _write_text(self.spark, f"{self.root}/current", version)
+        self._forget()
         return self.open(version)
 
+    def _forget(self) -> None:
+        """Removes the versions that were completed before the newest ``kept``; those without a
+        manifest may be in the making and stay."""
+        files, at = _file_system(self.spark, self.root)
+        manifest = lambda folder: self.spark._jvm.org.apache.hadoop.fs.Path(folder, "manifest.json")
+        folders = [x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("v-")]
+        complete = [(files.getFileStatus(m).getModificationTime(), str(f.getName()), f) for f in folders if files.exists(m := manifest(f))]
+        now = (_read_text(self.spark, f"{self.root}/current") or "").strip().rsplit("/", 1)[-1]
+        for _, name, folder in sorted(complete, key=lambda x: x[:2])[: -self.kept]:
+            if name != now:
+                files.delete(folder, True)
+
     def open(self, version: str) -> Snapshot:
         text = _read_text(self.spark, f"{version}/manifest.json")
         try:

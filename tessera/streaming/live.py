@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import fusion, snapshots, vectors
+from tessera.scratch import remove, written_at
 from tessera.sources.embedders import Embedder, embed, with_embeddings
 from tessera.sources.files import extract, list_files, read_files
 from tessera.sources.store import Snapshot, SnapshotStore
 
 log = logging.getLogger(__name__)
 
-#: Fixed value: seconds between scans.
+#: Seconds between scans, and files between reports of progress.
 INTERVAL_S = 1
+PROGRESS_EVERY = 10
 
 
 class LiveIndex:
@@ -34,16 +39,41 @@ class LiveIndex:
         self.query: StreamingQuery | None = None
         if self.store.current() is None:
             found = list_files(spark, folder)
-            self._publish(self._made(read_files(found)), found.count())
+            records, path = self._made(read_files(found), found.count())
+            self._publish(records)
+            remove(spark, path)
 
-    def _publish(self, records: DataFrame, n: int) -> None:
-        """``n``: how many files are extracted and embedded for it."""
-        self.on_progress(f"Indexing 0/{n}")
+    def _publish(self, records: DataFrame) -> None:
         self.store.publish(records)
-        self.on_progress(f"Indexing {n}/{n}")
 
-    def _made(self, files: DataFrame) -> DataFrame:
-        return with_embeddings(extract(files), self.embedder)
+    def _made(self, files: DataFrame, n: int) -> tuple[DataFrame, str]:
+        """The records of ``n`` files, written once. Each tenth of them and the last are reported
+        as tasks complete."""
+        done = self.spark.sparkContext.accumulator(0)
+        stop = threading.Event()
+        said = 0
+
+        def report(final: bool = False) -> None:
+            nonlocal said
+            count = n if final else min(int(done.value), n)
+            for i in range(said + 1, count + 1):
+                if i % PROGRESS_EVERY == 0 or i == n:
+                    self.on_progress(f"Indexing {i}/{n}")
+            said = max(said, count)
+
+        def watch() -> None:
+            while not stop.wait(0.05):
+                report()
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            made = written_at(with_embeddings(extract(files), self.embedder, done))
+        finally:
+            stop.set()
+            watcher.join()
+        report(final=True)
+        return made
 
     def snapshot(self) -> Snapshot:
         found = self.store.current()
@@ -51,23 +81,31 @@ class LiveIndex:
         return found
 
     def refresh(self) -> bool:
-        """One tick; whether a new version was published. Files that can't be read count as gone."""
-        files = read_files(list_files(self.spark, self.folder), tolerant=True)
-        disk = files.withColumn("hash", F.sha2("content", 256)).select("path", "hash")
-        records = self.snapshot().records
-        if snapshots.same(disk, records):
-            return False
-        wanted = snapshots.new_or_changed(disk, records).select("path")
-        fresh = self._made(files.join(wanted, "path", "left_semi"))
-        self._publish(snapshots.upsert(disk, records, fresh), wanted.count())
-        return True
+        """One tick; whether a new version was published. Files that can't be read count as gone.
+
+        The directory's hashes are taken once, into a table; then only new and changed files are
+        read again. A file that changes in between gets the hash of what its text was taken from.
+        """
+        listing = list_files(self.spark, self.folder)
+        disk, scanned = written_at(read_files(listing, tolerant=True).select("path", "mtime", F.sha2("content", 256).alias("hash")))
+        try:
+            records = self.snapshot().records
+            if snapshots.same(disk.select("path", "hash"), records):
+                return False
+            wanted = snapshots.new_or_changed(disk, records).select("path", "mtime")
+            fresh, made = self._made(read_files(wanted, tolerant=True), wanted.count())
+            self._publish(snapshots.upsert(disk, records, fresh))
+            remove(self.spark, made)
+            return True
+        finally:
+            remove(self.spark, scanned)
 
     def start(self, checkpoint: str, interval_s: float = INTERVAL_S) -> StreamingQuery:
         def tick(_: DataFrame, batch: int) -> None:
             try:
                 if self.refresh():
                     log.info("batch %d published %s", batch, self.snapshot().path)
-            except OSError as e:  # a directory that can't be listed now; the next tick tries again
+            except (OSError, PySparkException, Py4JError) as e:  # such as a directory that can't be listed, or a lost task; the next tick tries again
                 log.warning("batch %d passed over: %s", batch, e)
 
         clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()

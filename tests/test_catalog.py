@@ -8,7 +8,7 @@ import pytest
 from tessera.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
-TABLES = ["documents", "embeddings", "pages", "conversations"]
+TABLES = ["documents", "embeddings", "pages", "conversations", "nation", "region"]
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the test tables aren't here")
 

@@ -1,15 +1,19 @@
 import os
+import sys
 import time
 import zipfile
 import zlib
 
 import pytest
+from pyspark import cloudpickle
 
 from tessera.sources.embedders import HashingEmbedder, embed, with_embeddings
 from tessera.sources.files import ExtractionError, extract, extract_text, list_files, listed, read_files
 from tessera.sources.store import NotASnapshot, SnapshotStore, UnknownFormat
 from tessera.streaming.live import LiveIndex
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this folder
+
 TREE = "a.txt _b.txt .c.txt U.TXT e.md f.tmp k.doc empty.txt sub/d.pdf .git/g.txt x.tmp/h.txt _d/i.txt"
 
 
@@ -123,3 +127,105 @@ def test_streaming_refresh(spark, tmp_path):
         assert len(live.snapshot()) == 1
     finally:
         live.stop()
+
+
+def test_progress_each_ten_files_and_at_the_end(spark, tmp_path):
+    folder, said = str(tmp_path / "data"), []
+    for i in range(23):
+        put(folder, f"{i}.txt", f"text {i}")
+    live = LiveIndex(spark, folder, str(tmp_path / "store"), HashingEmbedder(8), on_progress=said.append)
+    assert said == ["Indexing 10/23", "Indexing 20/23", "Indexing 23/23"]
+    put(folder, "3.txt", "other")
+    assert live.refresh() and said[3:] == ["Indexing 1/1"]
+
+
+def test_old_versions_go(spark, tmp_path):
+    folder = str(tmp_path / "data")
+    live = LiveIndex(spark, folder, str(tmp_path / "store"), HashingEmbedder(8))
+    for i in range(5):
+        put(folder, "a.txt", f"words {i}")
+        time.sleep(0.02)
+        assert live.refresh()
+    versions = [x for x in os.listdir(tmp_path / "store") if x.startswith("v-")]
+    assert len(versions) == live.store.kept and live.snapshot().records.first().text == "words 4"
+
+
+def test_a_failing_tick_is_passed_over(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    folder = str(tmp_path / "data")
+    os.makedirs(folder)
+    live, errors = LiveIndex(spark, folder, str(tmp_path / "store"), HashingEmbedder(8)), [PySparkException("lost"), OSError("gone")]
+    refresh = live.refresh
+    monkeypatch.setattr(live, "refresh", lambda: (_ for _ in ()).throw(errors.pop()) if errors else refresh())
+    live.start(str(tmp_path / "checkpoint"), 0.2)
+    try:
+        put(folder, "a.txt", "after the errors")
+        until = time.time() + 60
+        while len(live.snapshot()) != 1 and time.time() < until:
+            time.sleep(0.2)
+        assert len(live.snapshot()) == 1 and not errors and live.query.isActive
+    finally:
+        live.stop()
+
+
+class Session:
+    """An encoder whose hidden states are one-hot in the id, to check the pooling."""
+
+    class Input:
+        def __init__(self, name):
+            self.name = name
+
+    def __init__(self, path):
+        assert path == "model.onnx"
+
+    def get_inputs(self):
+        return [self.Input("input_ids"), self.Input("attention_mask")]
+
+    def run(self, names, feed):
+        import numpy as np
+
+        assert names is None and set(feed) == {"input_ids", "attention_mask"}
+        return [np.eye(8)[feed["input_ids"] % 8]]
+
+
+def test_onnx_embedder_through_a_session(spark, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tessera.sources.embedders import OnnxEmbedder, windows
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "one": 2, "two": 3, "three": 4}, "[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "t.json"))
+    e = OnnxEmbedder(str(tmp_path / "t.json"), "model.onnx", 8, make_session=Session, windows_at_once=2)
+    assert e.id_to_token(3) == "two" and e.id_to_token(99) is None and e.max_tokens == 256
+
+    def plain(ids):
+        v = np.bincount(np.array([101, *ids, 102]) % 8, minlength=8).astype(float)
+        return v / np.linalg.norm(v)
+
+    texts = ["one two", "", "three", "one two three three nothing", " "]
+    got = [embed(e, t) for t in texts]
+    assert np.allclose(got[0], plain([2, 3])) and np.allclose(got[2], plain([4])) and not got[1].any() and not got[4].any()
+    long = "one two three " * 800
+    ids = e.tokenize(long)
+    pooled = np.mean([plain(ids[a:b]) for a, b in windows(len(ids))], axis=0)
+    assert np.allclose(embed(e, long), pooled / np.linalg.norm(pooled))
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate([*texts, long])], "i int, text string, error string")
+    for r in with_embeddings(rows, e).collect():
+        assert np.allclose(r.embedding, embed(e, [*texts, long][r.i]), atol=1e-6) and r.error is None
+
+
+class Failing(HashingEmbedder):
+    def tokenize(self, text):
+        if "bad" in text:
+            raise ValueError("no such text")
+        return super().tokenize(text)
+
+
+def test_one_failing_text_spares_its_batch(spark):
+    rows = spark.createDataFrame([(0, "good words", None), (1, "bad", "earlier"), (2, None, "kept")], "i int, text string, error string")
+    got = {r.i: r for r in with_embeddings(rows.coalesce(1), Failing(8)).collect()}
+    assert any(got[0].embedding) and got[0].error is None
+    assert not any(got[1].embedding) and got[1].error == "embedding: no such text" and got[2].error == "kept"

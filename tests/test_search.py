@@ -124,3 +124,71 @@ def test_hybrid_and_its_fallback(spark):
     assert found(fusion.top_k_hybrid(rows, " ", query_vec, 2)) == found(vectors.top_k(rows.select("doc_id", "embedding"), query_vec, 2))
     asked = spark.createDataFrame([(5, "cat", query_vec)], "query_id long, query string, query_vec array<float>")
     assert [(d, s) for _, _, d, s in sorted(found(fusion.top_k_hybrid_batch(rows, asked, 3)))] == got
+
+
+NAMED = [("b", "किताब पढ़ना"), ("a", "หนังสือ ที่นี่"), ("c", "كِتَاب جديد"), ("d", "किताब किताब other")]
+
+
+@pytest.mark.parametrize("query", ["किताब", "หนังสือ", "كِتَاب"])
+def test_scripts_with_combining_signs_give_the_same_hits_singly_and_in_a_batch(spark, query):
+    rows = spark.createDataFrame(NAMED, "doc_id string, text string")
+    single = found(bm25.search_corpus(rows, query, 5))
+    batch = bm25.search_batch(rows, spark.createDataFrame([(1, query)], "query_id long, query string"), 5)
+    assert single and [(d, s) for _, _, d, s in sorted(found(batch))] == single
+    assert found(bm25.Bm25Index.build(rows).search(query, 5)) == single
+
+
+@pytest.mark.parametrize(("query", "query_vec"), [("?", [1.0, 2.0, 3.0]), ("x", [1.0, 2.0, 3.0]), ("किताब", [0.0, 0.0, 0.0]), ("?", [0.0, 0.0, 0.0])])
+def test_hybrid_on_string_keys_where_one_list_is_empty(spark, query, query_vec):
+    rows = spark.createDataFrame([(i, t, v) for (i, t), (_, v) in zip(NAMED, VECTORS)], "doc_id string, text string, embedding array<float>")
+    got = fusion.top_k_hybrid(rows, query, query_vec, 3)
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert len(found(got)) == (3 if any(query_vec) else 2 if query == "किताब" else 0)
+    index = bm25.Bm25Index.build(rows.select("doc_id", "text"))
+    assert found(fusion.top_k_hybrid(rows, query, query_vec, 3, index)) == found(got)
+
+
+def test_best_is_sorted_for_every_k(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "doc_id long, score double").repartition(4)
+    monkeypatch.setattr(bm25, "LARGE_K", 20)
+    expected = sorted(((i, float(i % 7)) for i in range(50)), key=lambda r: (-r[1], r[0]))
+    for k in (5, 21, 49, 50, 10**10):
+        assert found(bm25.best(rows, k)) == expected[:k]
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(1, "cat dog"), (1, "cat"), (2, "dog dog"), (None, "cat cat")]
+    single = found(bm25.search_corpus(corpus(spark, rows), "cat", 9))
+    assert sorted(x[0] for x in single if x[0]) == [1, 1] and len(single) == 3
+    asked = spark.createDataFrame([(7, "cat")], "query_id long, query string")
+    assert sorted(s for *_, s in found(bm25.search_batch(corpus(spark, rows), asked, 9))) == sorted(s for _, s in single)
+
+
+def test_documents_are_added_and_cleared(spark):
+    index = bm25.Bm25Index.build(corpus(spark, CATS[:1])).added(corpus(spark, CATS[1:]))
+    assert len(index) == 3 and found(index.search("the dog", 3)) == brute(CATS, "the dog", 3)
+    assert len(index.cleared()) == 0 and found(index.cleared().search("dog", 3)) == []
+
+
+def test_counts_in_a_row(spark):
+    rows = [(1, "bb aa bb cc bb"), (2, ""), (3, None), (4, "zz")]
+    got = {r.doc_id: (r.dl, [tuple(x) for x in r.counts]) for r in bm25.counted(corpus(spark, rows)).collect()}
+    assert got == {1: (5, [("aa", 1), ("bb", 3), ("cc", 1)]), 2: (0, []), 3: (0, []), 4: (1, [("zz", 1)])}
+
+
+def test_vector_batch_equals_single_queries_with_ties_and_odd_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 3)
+    rows = [(f"v{i:02}", [rng.choice([0.0, 1.0, -1.0]) for _ in range(3)]) for i in range(60)]
+    rows += [("odd", [1.0, 2.0]), ("none", None), ("hole", [1.0, None, 2.0]), ("empty", [])]
+    asked = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(8)] + [(20, [1.0, 1.0]), (21, None), (22, [None, 1.0, 2.0])]
+    table = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    got = found(vectors.top_k_batch(table, spark.createDataFrame(asked, "query_id long, query_vec array<float>"), 10))
+    complete = table.where("embedding is null or not exists(embedding, x -> x is null)")
+    for q, v in asked:
+        expected = found(vectors.top_k(complete, v, 10)) if v and None not in v else []
+        assert [(d, s) for i, _, d, s in sorted(got) if i == q] == expected
+    assert found(vectors.top_k_batch(table, spark.createDataFrame(asked, "query_id long, query_vec array<float>"), 0)) == []

@@ -78,3 +78,31 @@ def test_hashing_embedder_and_long_texts():
     assert not embedders.embed(e, " \n").any()
     hidden, mask = np.array([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]), np.array([1, 1, 0])
     assert embedders.masked_mean(hidden, mask).tolist() == [2.0, 3.0]
+
+
+def test_windows_of_repeated_ids_do_not_mix(spark):
+    from tessera.operators.chunking import chunks
+
+    rows = [(1, [f"a{i}" for i in range(7)]), (1, [f"b{i}" for i in range(4)]), (2, None), (3, [])]
+    got = chunks(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), width=4, hop=3).collect()
+    assert sorted((r.doc_id, r.chunk, r.pos, r.end, "".join(r.tokens)) for r in got) == [
+        (1, 0, 0, 4, "a0a1a2a3"), (1, 0, 0, 4, "b0b1b2b3"), (1, 1, 3, 7, "a3a4a5a6"), (2, 0, 0, 0, ""), (3, 0, 0, 0, ""),
+    ]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from tessera.scratch import NoSharedFolder, shared_folder
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(NoSharedFolder):
+        shared_folder(Session)
+    Session.conf.get = staticmethod(lambda key, default: "hdfs://x/y/")
+    assert shared_folder(Session) == "hdfs://x/y"
