@@ -6,14 +6,22 @@ that share it. A null text is a document without tokens.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from tessera.functions.scores import idf, tf_weight
+from tessera.functions.scores import K1, B, idf, tf_weight
 from tessera.functions.text import token_list, tokens
+from tessera.operators.blocks import Best, slices
 from tessera.scratch import small, written
 
 LARGE_K = 100_000
@@ -24,10 +32,15 @@ def no_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row: the optimizer doesn't copy what a
+    generator makes into the expressions and lambdas that read it."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def tokenized(corpus: DataFrame) -> DataFrame:
-    """(doc_id, tokens, dl) of ``corpus`` (doc_id, text). The generator keeps the optimizer from
-    copying the tokenizer into every expression that reads the tokens."""
-    return corpus.select("doc_id", F.explode(F.array(tokens("text"))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    """(doc_id, tokens, dl) of ``corpus`` (doc_id, text)."""
+    return once(corpus.select("doc_id", "text"), "tokens", tokens("text")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
 
 
 def doc_lengths(corpus: DataFrame) -> DataFrame:
@@ -39,20 +52,18 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def _runs(of: Column) -> Column:
-    """array<struct<term, tf>> of a sorted array: where its equal entries start, and how many."""
-    n = F.size(of)
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1)))
-    starts = F.when(n > 0, first).otherwise(F.array().cast("array<int>"))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.struct(F.get(of, a).alias("term"), (b - a).cast("long").alias("tf")))
-
-
 def counted(corpus: DataFrame) -> DataFrame:
     """(doc_id, dl, counts array<struct<term, tf>>): terms are counted in the row that holds them,
-    so nothing is shuffled."""
-    rows = tokenized(corpus).select("doc_id", "dl", F.explode(F.array(F.sort_array("tokens"))).alias("tokens"))
-    return rows.select("doc_id", "dl", _runs(F.col("tokens")).alias("counts"))
+    so nothing is shuffled: in the sorted tokens each term is one run."""
+    rows = once(tokenized(corpus), "tokens", F.sort_array("tokens"))
+    at = F.sequence(F.lit(0), F.col("dl") - 1)
+    shifted = F.concat(F.array(F.lit("")), F.col("tokens"))  # no token is empty
+    starts = F.filter(F.zip_with(F.zip_with("tokens", shifted, lambda a, b: a != b), at, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+    rows = once(rows, "starts", F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array("dl"))
+    rows = once(rows, "ends", F.slice(ends, 1, F.size("starts")))
+    run = lambda a, b: F.struct(F.get("tokens", a).alias("term"), (b - a).cast("long").alias("tf"))
+    return rows.select("doc_id", "dl", F.zip_with("starts", "ends", run).alias("counts"))
 
 
 def _postings(rows: DataFrame) -> DataFrame:
@@ -169,27 +180,92 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Terms of queries, repeats among queries counted, that are sent to every task; more go in
+#: several passes, and one query's terms stay together.
+TERMS_AT_ONCE = 200_000
+QUERIES_AT_ONCE = 2_000
+
+
+class _Block:
+    """Some queries' terms with their weights, and what scores batches of counted documents."""
+
+    def __init__(self, terms: pa.Table, avgdl: float) -> None:
+        self.avgdl = avgdl
+        encoded = terms.column("query_id").combine_chunks().dictionary_encode()
+        self.query_ids = encoded.dictionary
+        words = terms.column("term").combine_chunks().dictionary_encode()
+        self.vocabulary = words.dictionary
+        term = words.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.query = encoded.indices.to_numpy()[order].astype(np.int64)
+        self.weight = terms.column("weight").to_numpy()[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+
+    def scores(self, lengths: np.ndarray, counts: pa.Array) -> np.ndarray:
+        """A row for each query, a column for each document; -1 where no term is shared."""
+        n = len(lengths)
+        entries = counts.flatten()
+        term = pc.index_in(entries.field("term"), self.vocabulary)
+        known = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+        out = np.zeros(len(self.query_ids) * n)
+        if len(known):
+            term = term.take(pa.array(known)).to_numpy()
+            doc = np.repeat(np.arange(n), pc.list_value_length(counts).to_numpy(zero_copy_only=False))[known]
+            tf = entries.field("tf").to_numpy()[known]
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.avgdl))
+            of = self.first[term + 1] - self.first[term]
+            ends = np.cumsum(of)
+            for a, b in zip(*_steps(ends, 1_000_000), strict=True):
+                some = of[a:b]
+                at = np.arange(some.sum()) + np.repeat(self.first[term[a:b]] - (np.cumsum(some) - some), some)
+                out += np.bincount(self.query[at] * n + np.repeat(doc[a:b], some), self.weight[at] * np.repeat(weight[a:b], some), len(out))
+        out = out.reshape(-1, n)
+        return np.where(out > 0, np.round(out, 6), -1.0)
+
+
+def _steps(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of stretches whose ends grow by about ``most`` each."""
+    starts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], most), side="left"))
+    return starts, np.append(starts[1:], len(ends))
+
+
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of every query, ties by doc_id.
 
-    The corpus is tokenized once, into a table of counts. A document's hits are brought together
-    by the number of its row before its terms meet the queries that hold them: the sums of a pair
-    of query and document need no exchange, and each task sends its best k a query.
+    The corpus is tokenized once, into a table of counts. Blocks of queries are small enough to
+    send; a task scores its documents against a block and keeps the best k of each query, so that
+    no pair of query and document is shuffled but those.
     """
+    spark = corpus.sparkSession
+    schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("doc_id", corpus.schema["doc_id"].dataType).add("score", DoubleType())
     terms = written(query_terms(queries))
-    vocabulary = written(terms.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()))
-    rows = written(counted(corpus).withColumn("row", F.monotonically_increasing_id()))
-    stats = corpus_stats(rows.select("dl"))
-    found = rows.select("row", "doc_id", "dl", F.inline("counts")).join(small(vocabulary), "term")
-    frequencies = written(found.groupBy("term_no").agg(F.count("*").alias("df")))
-    # stats is one row
-    weighted = found.join(small(frequencies), "term_no").crossJoin(F.broadcast(stats))
-    weight = idf(F.col("n"), F.col("df")) * tf_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    by_row = weighted.select("row", "doc_id", "term_no", weight.alias("weight")).repartition("row")
-    asked = written(terms.join(vocabulary, "term").select("term_no", "query_id", "qtf"))
-    pairs = by_row.join(small(asked), "term_no").groupBy("row", "query_id")
-    scored = pairs.agg(F.first("doc_id").alias("doc_id"), F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
-    return ranked_by_query(scored, k)
+    rows = written(counted(corpus))
+    stats = corpus_stats(rows.select("dl")).first()
+    wanted = written(terms.select("term").distinct())
+    frequencies = document_frequencies(rows.select(F.inline("counts")).join(small(wanted), "term", "left_semi"))
+    weighted = written(terms.join(frequencies, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(stats["n"]), F.col("df"))).alias("weight")))
+    size = weighted.agg(F.count("*"), F.count_distinct("query_id")).first()
+    blocks = max(1, math.ceil(size[0] / TERMS_AT_ONCE), math.ceil(size[1] / QUERIES_AT_ONCE))
+    parts = []
+    for i in range(blocks if k > 0 and stats["avgdl"] else 0):
+        some = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else weighted
+        # about TERMS_AT_ONCE rows
+        shared = spark.sparkContext.broadcast(some.toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, avgdl=stats["avgdl"]) -> Iterator[pa.RecordBatch]:
+            if not len(shared.value):
+                return
+            block = _Block(shared.value, avgdl)
+            kept = Best(block.query_ids, k)
+            for batch in batches:
+                for part in slices(batch):
+                    kept.add(part.column(0), block.scores(part.column(1).to_numpy(), part.column(2)))
+            yield from kept.batches()
+
+        parts.append(ranked_by_query(rows.select("doc_id", "dl", "counts").mapInArrow(run, schema), k))
+    if not parts:
+        return ranked_by_query(spark.createDataFrame([], schema), k)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def ranked_by_query(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:

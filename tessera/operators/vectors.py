@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from tessera.functions.scores import dot, l2_norm
+from tessera.operators.blocks import Best, slices
 from tessera.operators.bm25 import best, no_hits, ranked_by_query
 
 
@@ -37,10 +38,8 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int | None) -> DataFram
     return best(fitting.select("doc_id", F.round(score, 6).alias("score")), k)
 
 
-#: Queries of a batch whose vectors are sent to every task; more go in several passes. Rows of
-#: vectors that are multiplied with them at once.
+#: Queries of a batch whose vectors are sent to every task; more go in several passes.
 QUERIES_AT_ONCE = 2_000
-ROWS_AT_ONCE = 2_000
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -61,22 +60,11 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(size == 0, 1, size)
 
 
-def _best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k greatest scores of each row, of equal ones those further left."""
-    n = scores.shape[1]
-    if n <= k:
-        return np.divmod(np.arange(scores.size), max(n, 1))
-    least = np.partition(scores, n - k, axis=1)[:, n - k, None]
-    above, equal = scores > least, scores == least
-    equal &= np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | equal)
-
-
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score) of every query (query_id, query_vec) against all vectors.
 
     The stated queries go against all rows block by block; each block is small enough to send, and
-    each batch of rows hands on its best k of a query. Vectors without length score 0; queries
+    each task hands on its best k of a query. Vectors without length score 0; queries
     without length, nulls, and vectors of another dimension or with a null inside find nothing.
     """
     names = queries.schema["query_id"].dataType, vectors.schema["doc_id"].dataType
@@ -100,19 +88,19 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 unit = _unit(_matrix(of.column(1).combine_chunks()))
                 some = np.flatnonzero(unit.any(axis=1))
                 units[int(size)] = of.column(0).combine_chunks().take(pa.array(some)), unit[some]
+            kept = {size: Best(ids, k) for size, (ids, _) in units.items() if len(ids)}
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
+                for part in slices(batch):
                     part = part.filter(_complete(part.column(1)))
-                    part = part.take(pc.sort_indices(part.column(0)))
                     lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
-                    for size, (ids, unit) in units.items():
+                    for size, found in kept.items():
                         fitting = part.filter(pa.array(lengths == size))
-                        if not fitting.num_rows or not len(ids):
-                            continue
-                        scores = np.round(unit @ _unit(_matrix(fitting.column(1))).T, 6) + 0.0
-                        row, column = _best_of(scores, k)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), fitting.column(0).take(pa.array(column)), pa.array(scores[row, column])], ["query_id", "doc_id", "score"])
+                        if fitting.num_rows:
+                            # a cosine below 0 is a hit: 2 is added while the best are looked for
+                            found.add(fitting.column(0), np.round(units[size][1] @ _unit(_matrix(fitting.column(1))).T, 6) + 2)
+            for found in kept.values():
+                for out in found.batches():
+                    yield out.set_column(2, "score", pa.array(np.round(out.column(2).to_numpy() - 2, 6) + 0.0))
 
         parts.append(ranked_by_query(rows.mapInArrow(run, schema), k))
     if not parts:

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from tessera.operators import bm25, fusion, vectors
+from tessera.operators import blocks, bm25, fusion, vectors
 
 CATS = [(0, "the cat sits on the mat"), (1, "the dog runs in the park"), (2, "cats and dogs are pets")]
 
@@ -180,7 +180,7 @@ def test_vector_batch_equals_single_queries_with_ties_and_odd_rows(spark, monkey
     import random
 
     rng = random.Random(5)
-    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(blocks, "ROWS_AT_ONCE", 7)
     monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 3)
     rows = [(f"v{i:02}", [rng.choice([0.0, 1.0, -1.0]) for _ in range(3)]) for i in range(60)]
     rows += [("odd", [1.0, 2.0]), ("none", None), ("hole", [1.0, None, 2.0]), ("empty", [])]
@@ -192,3 +192,33 @@ def test_vector_batch_equals_single_queries_with_ties_and_odd_rows(spark, monkey
         expected = found(vectors.top_k(complete, v, 10)) if v and None not in v else []
         assert [(d, s) for i, _, d, s in sorted(got) if i == q] == expected
     assert found(vectors.top_k_batch(table, spark.createDataFrame(asked, "query_id long, query_vec array<float>"), 0)) == []
+
+
+def test_batch_in_blocks_equals_single_queries(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(bm25, "TERMS_AT_ONCE", 20)
+    words = "aa bb cc dd ee ff gg hh ii jj".split()
+    rows = [(i, " ".join(rng.choices(words, range(1, 11), k=rng.randint(0, 12)))) for i in range(80)] + [(200, None)]
+    asked = {i: " ".join(rng.choices(words + ["zz"], k=rng.randint(1, 6))) for i in range(30)}
+    got = found(bm25.search_batch(corpus(spark, rows), spark.createDataFrame(list(asked.items()), "query_id long, query string"), 4))
+    for q, text in asked.items():
+        assert [(d, s) for i, _, d, s in sorted(got) if i == q] == brute(rows, text, 4)
+    assert found(bm25.search_batch(corpus(spark, []), spark.createDataFrame([(1, "aa")], "query_id long, query string"), 4)) == []
+
+
+def test_best_of_a_task(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scores = rng.integers(-1, 4, (3, 200)).astype(float)
+    monkeypatch.setattr(blocks, "SLACK", 1)
+    best = blocks.Best(pa.array(["x", "y", "z"]), 5)
+    for at in range(0, 200, 13):
+        best.add(pa.array(range(at, min(at + 13, 200))), scores[:, at : at + 13])
+    got = pa.Table.from_batches(best.batches()).to_pylist()
+    for i, name in enumerate("xyz"):
+        expected = sorted(((-s, d) for d, s in enumerate(scores[i]) if s >= 0))[:5]
+        assert [(-r["score"], r["doc_id"]) for r in got if r["query_id"] == name] == expected
