@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, StructType
 from tessera.functions.scores import K1, B, idf, tf_weight
 from tessera.functions.text import token_list, tokens
 from tessera.operators.blocks import Best, slices
-from tessera.scratch import small, written
+from tessera.scratch import Scratch, small, written
 
 LARGE_K = 100_000
 
@@ -238,12 +238,13 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     spark = corpus.sparkSession
     schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("doc_id", corpus.schema["doc_id"].dataType).add("score", DoubleType())
-    terms = written(query_terms(queries))
     rows = written(counted(corpus))
     stats = corpus_stats(rows.select("dl")).first()
-    wanted = written(terms.select("term").distinct())
-    frequencies = document_frequencies(rows.select(F.inline("counts")).join(small(wanted), "term", "left_semi"))
-    weighted = written(terms.join(frequencies, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(stats["n"]), F.col("df"))).alias("weight")))
+    with Scratch() as scratch:
+        terms = scratch.written(query_terms(queries))
+        wanted = scratch.written(terms.select("term").distinct())
+        frequencies = document_frequencies(rows.select(F.inline("counts")).join(small(wanted), "term", "left_semi"))
+        weighted = written(terms.join(frequencies, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(stats["n"]), F.col("df"))).alias("weight")))
     size = weighted.agg(F.count("*"), F.count_distinct("query_id")).first()
     blocks = max(1, math.ceil(size[0] / TERMS_AT_ONCE), math.ceil(size[1] / QUERIES_AT_ONCE))
     parts = []

@@ -54,6 +54,26 @@ def written(df: DataFrame) -> DataFrame:
     return written_at(df)[0]
 
 
+class Scratch:
+    """Tables that are written on the way to a result and removed with the ``with`` block. The
+    result itself is written by ``written`` and stays."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        out, path = written_at(df)
+        self._paths.append((df.sparkSession, path))
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        while self._paths:
+            remove(*self._paths.pop())
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, a written table, with a broadcast hint if it has few rows in small files; otherwise
     as it is, so that the join is shuffled."""
