@@ -1,20 +1,18 @@
-"""What the operators share: tables, written intermediates and size-checked broadcasts."""
+"""What the operators share: tables, Arrow batches, bounded samples, and copies that are told apart."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
+from tessera.scratch import Scratch, new_path, remove, small, written, written_at
+
+__all__ = ["Scratch", "in_small_batches", "new_path", "numbered_copies", "remove", "sampled", "small", "table", "written", "written_at"]
 
-#: Rows, and bytes of Parquet, that a broadcast may hold; beyond either the join is shuffled.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 24_000_000
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1_000
+#: Equal rows that may stay together; of more, each gets a number by which they can be dealt out.
+COPIES_TOGETHER = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,38 +26,38 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own_folder.setdefault("path", "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-
+def hash_limit(rows: int, total: int) -> int:
+    """The greatest of the signed 64-bit hashes that are chosen, so that of ``total`` ids about
+    ``rows`` are, whatever the total; all of them where there are no more."""
+    return (min(rows, total) << 64) // max(1, total) - 2**63 - 1
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
+def sampled(df: DataFrame, rows: int, total: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``df``, chosen by a hash of ``key``."""
+    limit = hash_limit(rows, total)
+    return df.where(F.xxhash64(F.lit(seed), F.col(key)) <= F.lit(max(limit, -(2**63))).cast("long"))
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage, survives the loss of
-    executors, and gives the planner real sizes."""
-    return written_at(df)[0]
 
+def _as_many(rows: DataFrame, together: int) -> DataFrame:
+    """Each row of ``rows`` (doc_id, text, n) n times, with ``copy`` from 0; the copies of one row
+    are made by many tasks."""
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / together))).alias("part"))
+    dealt = parts.repartition("doc_id", "part")
+    first = F.col("part") * together
+    return dealt.select("doc_id", "text", F.explode(F.sequence(first, F.least(first + together, F.col("n")) - 1)).alias("copy"))
 
-def written_at(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
 
+def numbered_copies(rows: DataFrame, together: int = COPIES_TOGETHER) -> DataFrame:
+    """``rows`` (doc_id, text) with ``copy`` (long): 0, but 0, 1, 2, ... for rows of which more than
+    ``together`` are equal, so that a hash that takes it deals them out.
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a written table, with a broadcast hint if it has few rows in small files; otherwise
-    as it is, so that the join is shuffled."""
-    on_disk = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if on_disk <= size and df.count() <= rows else df
+    Only a number and a hash of each row are shuffled, and what is equal collapses first.
+    """
+    key = rows.select("doc_id", F.xxhash64("text").alias("_hash"))
+    often = written(key.groupBy("doc_id", "_hash").agg(F.count("*").alias("_n")).where(F.col("_n") > together).select(F.col("doc_id").alias("_id"), "_hash"))
+    if often.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    same: Column = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    seldom = rows.join(small(often), same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    many = rows.join(small(often), same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    return seldom.unionByName(_as_many(many, together))
