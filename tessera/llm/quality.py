@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_small_batches
+from tessera.llm.common import in_small_batches, sampled
 
 #: Documents of each kind, positives and unlabelled, that training reads at most, about.
 TRAINING_ROWS = 20_000
@@ -156,25 +156,30 @@ def _extracted(texts: DataFrame, keep: str) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from about ``rows`` trusted positives and ``rows`` unlabelled documents at most,
-    both chosen by a hash of the id, none held out. The driver gets their features only."""
+    both chosen by a hash of the id, none held out. The driver gets their features only.
+
+    An id is trusted if it has labels and all that are not null say 1. Labels of ids that no
+    document has are ignored; of documents that share an id each is a training row. Null ids are
+    never positives, and are chosen or left as one.
+    """
     spark_rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(~held_out())
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out())
-    share = 1 << 20
-
-    def some(seed: int, total: int):
-        return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(share)) < int(share * min(1.0, rows / max(1, total)))
-
-    chosen = trusted.where(some(5, trusted.count()))
-    total = documents.select("doc_id").count()
-    # about ``rows`` ids; left_semi keeps each document once
-    positive = spark_rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-    unlabelled = spark_rows.where(some(50, total))
+    n_trusted, total = trusted.count(), documents.select("doc_id").count()
+    chosen = sampled(trusted, rows, n_trusted, seed=5)
+    # about ``rows`` ids
+    positive = spark_rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    unlabelled = sampled(spark_rows.withColumn("row", F.struct("doc_id", "text")), rows, total, 50, "row").select("doc_id", "text").distinct()
 
     def matrix(df: DataFrame) -> np.ndarray:
-        got = sorted((r["doc_id"], r["x"]) for r in _extracted(df, "doc_id").collect())
-        return np.array([np.frombuffer(x, np.float32) for _, x in got], np.float64).reshape(-1, N_FEATURES)
-
-    return fit(matrix(positive), matrix(unlabelled))
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["x"]) for r in _extracted(df, "doc_id").collect()))
+        return np.array([np.frombuffer(x, np.float32) for *_, x in got], np.float64).reshape(-1, N_FEATURES)
+
+    found = matrix(positive), matrix(unlabelled)
+    if n_trusted > rows and not len(found[0]) or total > rows and not len(found[1]):
+        raise ValueError(f"no document among {n_trusted} trusted and {total} in all was chosen")
+    if n_trusted and chosen.isEmpty():
+        raise ValueError(f"no id among {n_trusted} trusted ones was chosen")
+    return fit(*found)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -31,7 +31,7 @@ def labelled(spark, rng, n=900):
 def test_chain_on_documents_it_has_not_seen(spark, rng, awkward, empty):
     documents, labels, known = labelled(spark, rng)
     chain = toxicity.train(documents, labels.where("doc_id % 3 != 0"))
-    assert chain.names == ["insult", "degrading", "toxic"]
+    assert chain.names == ["kind_1", "kind_2", "toxic"]
     assert [len(w) - len(chain.dictionary) for w in chain.weights] == [1, 2, 3]
     got = {r.doc_id: r for r in toxicity.score(documents, chain).collect()}
     unseen = [(i, t) for i, _, t in known if i % 3 == 0]
@@ -43,12 +43,71 @@ def test_chain_on_documents_it_has_not_seen(spark, rng, awkward, empty):
     assert toxicity.train(empty, labels).dictionary == {}
 
 
-def test_logistic_and_out_of_fold_chain():
+def sparse(x):
+    return toxicity.Sparse.of([np.flatnonzero(r) for r in x], x.shape[1])
+
+
+def test_logistic_equals_plain_gradient_descent():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (300, 5)).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] - 0.5)))).astype(float)
+    w = np.zeros(6)
+    for _ in range(30_000):
+        error = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        w -= 0.5 * np.append(x.T @ error / 300 + 2e-4 * w[:-1], error.mean())
+    assert np.allclose(toxicity.fit_logistic(sparse(x), y, close=1e-8), w, atol=1e-3)
+    assert toxicity.fit_logistic(sparse(x), np.ones(300))[-1] > 9
+
+
+def test_out_of_fold_chain():
     rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, (600, 6)).astype(np.float32)
-    a = x[:, 0].astype(float)
-    chain = toxicity.fit_chain(x, np.column_stack([a, a * x[:, 1]]), ["a", "b"], {str(i): i for i in range(6)})
-    assert chain.weights[0][0] > 3 and chain.weights[1][1] > 3
+    x = rng.integers(0, 2, (600, 6)).astype(float)
+    a = x[:, 0]
+    chain = toxicity.fit_chain(sparse(x), np.column_stack([a, a * x[:, 1]]), ["a", "b"], {str(i): i for i in range(6)})
+    assert [len(w) for w in chain.weights] == [7, 8]
+    assert chain.weights[0][0] > 3 and chain.weights[1][1] > 3 and chain.weights[1][6] > 0.5
+
+
+def test_kinds_are_found_in_the_data():
+    rng = np.random.default_rng(1)
+    x = np.zeros((400, 30))
+    x[:, 10:] = rng.random((400, 20)) < 0.3
+    kind = np.arange(400) % 4  # two of four are toxic, each with words of its own
+    for i in range(400):
+        if kind[i] < 2:
+            x[i, 5 * kind[i] : 5 * kind[i] + 5] = rng.random(5) < 0.8
+    found = toxicity.kinds_of(sparse(x), (kind < 2).astype(float))
+    assert not found[kind >= 2].any() and (found[kind < 2].sum(axis=1) == 1).all()
+    same = found[kind == 0, 0].mean()
+    assert max(same, 1 - same) > 0.95 and abs(same - found[kind == 1, 0].mean()) > 0.9
+
+
+def test_chain_over_label_columns(spark, rng):
+    documents, labels, known = labelled(spark, rng, 600)
+    several = labels.selectExpr("doc_id", "1 - quality as poor", "toxic")
+    chain = toxicity.train(documents, several, ("poor", "toxic"))
+    assert chain.names == ["poor", "toxic"]
+    got = {r.doc_id: r for r in toxicity.score(documents, chain).collect()}
+    assert np.mean([got[i].toxic == bool(t) for i, _, t in known]) > 0.95
+
+
+def test_samples_have_their_size_at_any_total(spark):
+    from tessera.llm.common import hash_limit, sampled
+
+    for total in (10, 10**5, 10**11, 10**18):
+        share = (hash_limit(12_000, total) + 2**63 + 1) / 2**64
+        assert abs(share * total - min(total, 12_000)) < 1
+    ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    assert abs(sampled(ids, 4_000, 40_000, 1).count() - 4_000) < 400
+    assert sampled(ids, 50_000, 40_000, 1).count() == 40_000 and sampled(ids, 10, 10**15, 1).count() == 0
+
+
+def test_an_empty_sample_of_labels_is_an_error(spark, rng, monkeypatch):
+    documents, labels, _ = labelled(spark, rng, 40)
+    for module in (toxicity, quality):
+        monkeypatch.setattr(module, "sampled", lambda df, *_, **__: df.limit(0))
+        with pytest.raises(ValueError):
+            module.train(documents, labels)
 
 
 def test_quality_on_held_out_labels(spark, rng, awkward, empty):
