@@ -1,17 +1,30 @@
-"""Repeated passages of lines: found by the lines' hashes, compared by bytes, removed.
-
-Lines are wrapped where a sentence ends, so that a passage inside a paragraph has lines of its own.
-A line of over 64 words is cut where the hash of two words is less than those of the three before
-and after it, so that its pieces move with a passage in it. Each line or piece is a chunk: the same lines are cut at the same places wherever they stand, up to the
-passage's edges. Of the places that hold the same chunk the first stays: the least doc_id, then text hash,
-then place. The other places are cut out of their texts where such chunks, one after the other,
-have 20 words or more.
+"""Repeated passages: content-defined chunks of lines, found by hash, compared by bytes, removed.
+
+A text's lines end at line breaks and sentence ends; a line of more words than ``WRAP_WORDS`` is
+also cut inside, at places that its content chooses, so that a passage in the middle of a
+paragraph has lines of its own. A rolling hash over each two lines that follow each other says
+whether their meeting is an even or an odd boundary. A chunk reaches from a boundary to the next
+one of its kind, both lines of either included; the text's ends count as boundaries of both
+kinds. A boundary depends on two lines alone, so the same lines are cut alike wherever they stand.
+Of any three boundaries two are of one kind: of four or more lines that two texts share, all but
+one at an edge lie in shared chunks.
+
+What a chunk's place and the place that stays have in common goes on by one line where the lines
+before both, or after both, are the same: so all lines of such a passage go.
+
+Chunks have ``LEAST_LINES`` lines or more. Of the places that hold the same chunk the first stays:
+the least doc_id, then text hash, then place. So every line that is removed stands, byte for byte,
+at an earlier place that stays.
+
+Hashes alone cut nothing: a chunk's hash counts where it stands for one row of line hashes, and
+each of these for one line, whose bytes are compared.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,149 +32,311 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import in_small_batches, small, written
+from tessera.llm.common import Scratch, in_small_batches, small, written
 
-LEAST_WORDS = 20
-#: Lines of more words are cut inside; a cut's hash is the least of as many on each side. Where
-#: writing has no spaces, so many bytes count as a word.
-WRAP_WORDS, WRAP_REACH = 64, 3
+LEAST_LINES = 3
+#: Lines of more words are cut inside, where a place's hash is less than those of as many places
+#: on each side. Where writing has no spaces, so many bytes count as a word.
+WRAP_WORDS, WRAP_REACH = 16, 3
 BYTES_A_WORD = 9
-#: Bits of the filter of repeated hashes that tasks get, whatever their number: 16 MB.
-FILTER_BUCKETS, FILTER_BITS = 4096, 32768
-#: Chunks that a task hands over at once.
-SITES_AT_ONCE = 10_000
-#: Also after a full stop, exclamation or question mark of Chinese and Japanese.
-_LINE_ENDS = re.compile("(?<=[.!?]) |\n|(?<=\u3002)|(?<=\uff01)|(?<=\uff1f)".encode()).finditer
-_WORD_ENDS = re.compile("(?: |\u3001|\uff0c|\uff1b|\uff1a)".encode()).finditer
-_SPACE = b" \n"
-
-
-def _words(line: bytes) -> int:
-    spaces = line.count(b" ")
-    return spaces + 1 if line.isascii() else max(spaces + 1, len(line) // BYTES_A_WORD)
-
-
-def _inner_ends(line: bytes) -> list[int]:
-    """Where a long line is cut; text that repeats within the reach is not."""
-    ends = [0, *(m.end() for m in _WORD_ENDS(line))]
-    size = len(ends) - 2
-    if size <= 2 * WRAP_REACH:
-        return []
-    two = np.fromiter((xxh64_intdigest(line[ends[i] : ends[i + 2]]) for i in range(size)), np.uint64, size)
-    around = np.lib.stride_tricks.sliding_window_view(two, 2 * WRAP_REACH + 1)
-    others = np.delete(around, WRAP_REACH, axis=1).min(axis=1)
-    return [ends[i + WRAP_REACH + 1] for i in np.flatnonzero(around[:, WRAP_REACH] < others)]
-
-
-def _with_inner(text: bytes, ends: list[int]) -> list[int]:
-    out, start = [], 0
-    for end in ends:
-        if end - start > 2 * WRAP_WORDS and _words(line := text[start:end].rstrip(_SPACE)) > WRAP_WORDS:
-            out += [start + x for x in _inner_ends(line)]
-        out.append(end)
-        start = end
-    return out
-
-
-def chunks(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, content) of each chunk with content: bytes ``start`` to ``end``, without
-    separators at its end in ``content``. Blank lines belong to the chunk before them; those at the
-    start are left out."""
-    ends = [m.end() for m in _LINE_ENDS(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    if len(text) > 2 * WRAP_WORDS:
-        ends = _with_inner(text, ends)
-    start, held = 0, None
-    for end in ends:
-        line = text[start:end].rstrip(_SPACE)
-        if line:
-            if held:
-                yield held
-            held = start, end, _words(line), line
-        elif held:
-            held = held[0], end, held[2], held[3]
-        start = end
-    if held:
-        yield held
-
-
-def runs(spans: list[tuple[int, int, int]], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """(start, end) of adjoining (start, end, words) with at least ``least`` words together."""
-    out: list[list[int]] = []
-    for start, end, n in sorted(set(spans)):
-        if out and out[-1][1] == start:
-            out[-1][1] = end
-            out[-1][2] += n
-        else:
-            out.append([start, end, n])
-    return [(a, b) for a, b, n in out if n >= least]
-
-
-_SITE = "doc_id long, text_hash long, chunk_hash long, start int, stop int, words int, chunk binary"
-
-
-def _chunk_hashes(rows: DataFrame) -> DataFrame:
+#: Bits of the filter of repeated hashes for each of them, and at most; beyond, the join alone selects.
+FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 28
+BUCKET_BITS = 1 << 15
+#: Bytes of texts that are cut at once, and rows that a task hands over at once.
+SLICE_BYTES = 1 << 21
+ROWS_AT_ONCE = 10_000
+
+_SPACE, _BREAK = 32, 10
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
+#: Stops and commas of Chinese and Japanese in UTF-8.
+_WIDE_STOPS = ("。".encode(), "！".encode(), "？".encode())
+_WIDE_COMMAS = ("、".encode(), "，".encode(), "；".encode(), "：".encode())
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD[0]
+    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
+    return x ^ (x >> np.uint64(32))
+
+
+def _after(data: np.ndarray, letters: tuple[bytes, ...]) -> np.ndarray:
+    """Where one of some letters of three bytes ends."""
+    out = [np.zeros(0, np.int64)]
+    for a, b, c in letters:
+        at = np.flatnonzero(data == a)
+        at = at[at + 2 < len(data)]
+        out.append(at[(data[at + 1] == b) & (data[at + 2] == c)] + 3)
+    return np.concatenate(out)
+
+
+def _line_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ascending ends of the lines of texts that follow each other in ``data``."""
+    spaces = np.flatnonzero(data == _SPACE)
+    at_end = np.zeros(len(data) + 1, bool)
+    stopped = spaces[_STOPS[data[spaces - 1]]]
+    at_end[stopped + 1] = True
+    at_end[bounds[:-1][data[np.minimum(bounds[:-1], len(data) - 1)] == _SPACE] + 1] = False  # what precedes is another text
+    at_end[1:] |= data == _BREAK
+    wide = bool((data >= 0xE3).any())
+    if wide:
+        at_end[_after(data, _WIDE_STOPS)] = True
+    at_end[bounds] = True
+    at_end[0] = False
+    ends = np.flatnonzero(at_end)
+    places = np.sort(np.concatenate([spaces + 1, _after(data, _WIDE_COMMAS)])) if wide else spaces + 1
+    starts = np.append(0, ends[:-1])
+    size = ends - starts
+    places_in = np.searchsorted(places, ends) - np.searchsorted(places, starts, side="right")
+    long = (places_in >= WRAP_WORDS) | (size > 2 * WRAP_WORDS * BYTES_A_WORD)
+    if not long.any():
+        return ends
+    dense = long & (size > 4 * BYTES_A_WORD * (places_in + 1))
+    if dense.any():
+        # lines without words are cut between letters, at a quarter of the places between them
+        letters = np.flatnonzero((data & 0xC0) != 0x80)
+        letters = letters[dense[np.minimum(np.searchsorted(ends, letters, side="right"), len(ends) - 1)]]
+        places = np.union1d(places, letters[(_hash_at(data, letters) & np.uint64(3)) == 0])
+    line = np.searchsorted(ends, places, side="left")
+    inside = (line < len(ends)) & (places < ends[np.minimum(line, len(ends) - 1)])
+    places, line = places[inside], line[inside]
+    text = np.searchsorted(bounds, places, side="right") - 1
+    some = long[line] & (places - 8 >= bounds[text]) & (places + 8 <= bounds[text + 1])
+    places, line = places[some], line[some]
+    if len(places) <= 2 * WRAP_REACH:
+        return ends
+    hashes = _hash_at(data, places)
+    cut = np.zeros(len(places), bool)
+    middle = slice(WRAP_REACH, len(places) - WRAP_REACH)
+    cut[middle] = True
+    for k in range(-WRAP_REACH, WRAP_REACH + 1):
+        if k:
+            other = slice(WRAP_REACH + k, len(places) - WRAP_REACH + k)
+            cut[middle] &= (line[middle] == line[other]) & (hashes[middle] < hashes[other])
+    at_end[places[cut]] = True
+    return np.flatnonzero(at_end)
+
+
+def _hash_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the eight bytes before and the eight after each place."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, 16)[places] if len(places) else np.zeros((0, 16), np.uint8)
+    both = np.ascontiguousarray(around).view("<u8")
+    return _mixed(both[:, 0] * _ODD[2] ^ both[:, 1] * _ODD[3])
+
+
+@dataclass
+class Lines:
+    """Lines with content of texts that follow each other: the number of the text, the first byte,
+    the end of the content, the end of the line with blank lines after it, and the hash.
+
+    Blank lines at a text's start are left out."""
+
+    text: np.ndarray
+    start: np.ndarray
+    content: np.ndarray
+    stop: np.ndarray
+    hash: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, bounds: np.ndarray, line_hash: Callable[[bytes], int] = xxh64_intdigest) -> Lines:
+        ends = _line_ends(data, bounds) if len(data) else np.zeros(0, np.int64)
+        starts = np.append(0, ends[:-1])[: len(ends)]
+        filled = np.maximum.accumulate(np.where((data == _SPACE) | (data == _BREAK), -1, np.arange(len(data)))) if len(data) else data
+        content = filled[ends - 1] + 1 if len(ends) else ends
+        some = content > starts
+        starts, content = starts[some], content[some]
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        follows = np.append(text[1:] == text[:-1], False)[: len(text)]
+        stop = np.where(follows, np.append(starts[1:], 0)[: len(starts)], bounds[text + 1])
+        view = memoryview(data)
+        hashes = np.fromiter((line_hash(view[a:b]) for a, b in zip(starts.tolist(), content.tolist(), strict=True)), np.uint64, len(starts))
+        return cls(text, starts, content, stop, hashes)
+
+    def beside(self, line: np.ndarray, step: int) -> np.ndarray:
+        """The lines before (-1) or after (1) some, or these where their text has none there."""
+        if not len(line):
+            return line
+        other = np.clip(line + step, 0, len(self.text) - 1)
+        return np.where(self.text[other] == self.text[line], other, line)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first line, last line, hash) of the chunks of all texts."""
+        n = len(self.text)
+        meets = np.flatnonzero(self.text[1:] == self.text[:-1])
+        kind = _mixed(self.hash[meets] * _ODD[2] + self.hash[meets + 1] * _ODD[3]) >> np.uint64(63)
+        new = np.flatnonzero(np.diff(self.text, prepend=-1))
+        last = np.append(new[1:], n)[: len(new)] - 1
+        first, end = [], []
+        for of in (0, 1):
+            boundary = meets[kind == of]
+            first.append(np.sort(np.concatenate([new, boundary])))
+            end.append(np.sort(np.concatenate([boundary + 1, last])))
+        first, end = np.concatenate(first), np.concatenate(end)
+        some = end - first >= LEAST_LINES - 1
+        first, end = first[some], end[some]
+        powers = np.cumprod(np.full(n + 1, _ODD[0]))
+        back = np.cumprod(np.full(n + 1, np.uint64(pow(int(_ODD[0]), -1, 2**64))))
+        sums = np.append(np.uint64(0), np.cumsum(_mixed(self.hash) * powers[:n], dtype=np.uint64))
+        return first, end, _mixed((sums[end + 1] - sums[first]) * back[first] + (end - first).astype(np.uint64) * _ODD[1])
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, bounds) of some texts after the other; null is empty."""
+    texts = texts.fill_null(b"")
+    wide = pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end
+
+
+def _chunk_hashes(rows: DataFrame, line_hash: Callable[[bytes], int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [xxh64_intdigest(c) - 2**63 for text in batch.column(2).to_pylist() for _, _, _, c in chunks(text or b"")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["chunk_hash"])
+            for _, data, bounds in _slices(batch.column(2)):
+                found = Lines.of(data, bounds, line_hash).chunks()[2]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["chunk_hash"])
 
     return rows.mapInArrow(run, "chunk_hash long")
 
 
-def _filter(repeated: DataFrame) -> bytes:
-    """A bit for the hash of every row (chunk_hash); of fixed size."""
-    bucket = F.pmod("chunk_hash", F.lit(FILTER_BUCKETS))
-    place = F.shiftright("chunk_hash", 12).bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = np.zeros((FILTER_BUCKETS, FILTER_BITS // 8), np.uint8)
+def _filter(repeated: DataFrame) -> bytes | None:
+    """Bits for the hashes of the rows (chunk_hash): those that are set are among them, perhaps. None
+    if there are too many for a filter of the greatest size."""
+    bits = max(BUCKET_BITS, 1 << math.ceil(math.log2(max(1, FILTER_BITS_EACH * repeated.count()))))
+    if bits > FILTER_BITS:
+        return None
+    buckets = bits // BUCKET_BITS
+    bucket = F.pmod("chunk_hash", F.lit(buckets))
+    place = F.shiftrightunsigned("chunk_hash", 40).bitwiseAND(F.lit(BUCKET_BITS - 1))
+    out = np.zeros((buckets, BUCKET_BITS // 8), np.uint8)
     for number, raw in repeated.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place)).collect():
-        bits[number] = np.frombuffer(raw, np.uint8)
-    return bits.tobytes()
+        out[number] = np.frombuffer(raw, np.uint8)
+    return out.tobytes()
 
 
-def _sites(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``_SITE`` of every chunk whose hash is among ``repeated``, and of few others."""
-    shared = rows.sparkSession.sparkContext.broadcast(_filter(repeated))
+def _passes(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(hashes), bool)
+    bucket = hashes & np.uint64(len(bits) * 8 // BUCKET_BITS - 1)
+    place = (hashes >> np.uint64(40)) & np.uint64(BUCKET_BITS - 1)
+    return (bits[bucket * np.uint64(BUCKET_BITS // 8) + (place >> np.uint64(3))] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, width = shared.value, FILTER_BITS // 8
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["doc_id", "text_hash", "chunk_hash", "start", "stop", "words", "chunk"]
 
-        def made(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+#: A chunk's place, and beside it: the hashes of the lines before and after it (0 at the text's
+#: ends), and where the former starts and the latter stops.
+SITES = "doc_id long, text_hash long, chunk_hash long, start int, stop int, before long, after long, from int, to int"
 
-        found: list[tuple] = []
-        for batch in batches:
-            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, end, words, chunk in chunks(text or b""):
-                    chunk_hash = xxh64_intdigest(chunk) - 2**63
-                    place = chunk_hash >> 12 & FILTER_BITS - 1
-                    if bits[chunk_hash % FILTER_BUCKETS * width + (place >> 3)] >> (place & 7) & 1:
-                        found.append((doc_id, text_hash, chunk_hash, start, end, words, chunk))
-                if len(found) >= SITES_AT_ONCE:
-                    yield made(found)
-                    found = []
-        if found:
-            yield made(found)
 
-    return rows.mapInArrow(run, _SITE)
+def _shared(rows: DataFrame, bits: bytes | None):
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
 
+def _bits(shared) -> np.ndarray | None:
+    return None if shared.value is None else np.frombuffer(shared.value, np.uint8)
 
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, stop, words) of every chunk that stands earlier, too.
+
+def _sites(rows: DataFrame, shared, line_hash: Callable[[bytes], int]) -> DataFrame:
+    """``SITES`` of every chunk whose hash passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _bits(shared)
+        for batch in batches:
+            for at, data, bounds in _slices(batch.column(2)):
+                lines = Lines.of(data, bounds, line_hash)
+                first, end, hashes = lines.chunks()
+                some = _passes(bits, hashes)
+                first, end, hashes = first[some], end[some], hashes[some]
+                text = lines.text[first]
+                of = pa.array(text + at)
+                previous, following = lines.beside(first, -1), lines.beside(end, 1)
+                places = [lines.start[first], lines.stop[end], lines.start[previous], lines.stop[following]]
+                start, stop, begin, to = (pa.array((x - bounds[text]).astype(np.int32)) for x in places)
+                before, after = (pa.array(np.where(x == of_chunk, 0, lines.hash[x].view(np.int64))) for x, of_chunk in ((previous, first), (following, end)))
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(hashes.view(np.int64)), start, stop, before, after, begin, to]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "chunk_hash", "start", "stop", "before", "after", "from", "to"])
+
+    return rows.mapInArrow(run, SITES)
+
+
+def _evidence(rows: DataFrame, shared, line_hash: Callable[[bytes], int]) -> DataFrame:
+    """(of_chunk boolean, hash long, content binary), each once: for the chunks whose hash passes
+    the filter their lines' hashes, and for those lines and the ones beside them their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _bits(shared)
+        for batch in batches:
+            for _, data, bounds in _slices(batch.column(0)):
+                lines = Lines.of(data, bounds, line_hash)
+                first, end, hashes = lines.chunks()
+                some = _passes(bits, hashes)
+                first, end, hashes = first[some], end[some], hashes[some]
+                depth = np.zeros(len(lines.hash) + 1, np.int64)
+                np.add.at(depth, lines.beside(first, -1), 1)
+                np.add.at(depth, lines.beside(end, 1) + 1, -1)
+                covered = np.flatnonzero(np.cumsum(depth)[:-1]).tolist()
+                view = memoryview(data)
+                found = {(True, h, lines.hash[a : b + 1].tobytes()) for h, a, b in zip(hashes.view(np.int64).tolist(), first.tolist(), end.tolist(), strict=True)}
+                found |= {(False, h, bytes(view[lines.start[i] : lines.content[i]])) for i, h in zip(covered, lines.hash[covered].view(np.int64).tolist(), strict=True)}
+                held = list(found)
+                for at in range(0, len(held), ROWS_AT_ONCE):
+                    kinds, of, contents = zip(*held[at : at + ROWS_AT_ONCE], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.bool_()), pa.array(of, pa.int64()), pa.array(contents, pa.binary())], ["of_chunk", "hash", "content"])
+
+    return rows.select("text").mapInArrow(run, "of_chunk boolean, hash long, content binary").distinct()
+
+
+def _doubtful(evidence: DataFrame) -> tuple[DataFrame, bool]:
+    """(chunk_hash) of the chunks whose hash, or a line's, stands for several contents; and whether
+    a line's does."""
+    several = written(evidence.groupBy("of_chunk", "hash").agg(F.count("*").alias("n")).where("n > 1").select("of_chunk", "hash"))
+    chunks = several.where("of_chunk").select(F.col("hash").alias("chunk_hash"))
+    if several.where("not of_chunk").isEmpty():
+        return chunks, False
+    at = F.sequence(F.lit(1), F.octet_length("content"), F.lit(8))
+    each = evidence.where("of_chunk").select(F.col("hash").alias("chunk_hash"), F.explode(F.transform(at, lambda i: F.substring("content", i, F.lit(8)))).alias("raw"))
+    digits = F.lpad(F.hex("hash"), 16, "0")
+    lines = several.where("not of_chunk").select(F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])).alias("raw"))
+    return chunks.unionAll(each.join(lines, "raw", "left_semi").select("chunk_hash")).distinct(), True
+
+
+def repeated_chunks(documents: DataFrame, line_hash: Callable[[bytes], int] = xxh64_intdigest) -> DataFrame:
+    """(doc_id, text_hash, start, stop) of every chunk that stands earlier, too, with a line on
+    either side that does.
 
     Rows equal in doc_id and text are one document; a null doc_id comes after all others.
     """
     rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    repeated = written(_chunk_hashes(rows).groupBy("chunk_hash").agg(F.count("*").alias("n")).where("n > 1").select("chunk_hash"))
-    found = written(_sites(rows, repeated).join(repeated, "chunk_hash", "left_semi"))
-    site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    least = F.min(F.struct(site.alias("site"), "chunk")).alias("kept")
-    firsts = written(found.groupBy("chunk_hash").agg(least, F.max(site).alias("last")).where("kept.site != last").select("chunk_hash", "kept"))
-    again = found.join(firsts, "chunk_hash").where(~site.eqNullSafe(F.col("kept.site")) & (F.col("chunk") == F.col("kept.chunk")))
-    return again.select("doc_id", "text_hash", "start", "stop", "words")
+    with Scratch() as scratch:
+        counts = _chunk_hashes(rows, line_hash).groupBy("chunk_hash").agg(F.count("*").alias("n"))
+        repeated = scratch.written(counts.where("n > 1").select("chunk_hash"))
+        shared = _shared(rows, _filter(repeated))
+        found = scratch.written(_sites(rows, shared, line_hash).join(repeated, "chunk_hash", "left_semi"))
+        chunks, lines_too = _doubtful(_evidence(rows, shared, line_hash))
+        doubtful = scratch.written(chunks)
+        shared.destroy()
+        site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
+        firsts = scratch.written(found.groupBy("chunk_hash").agg(F.min(F.struct(site.alias("site"), "before", "after")).alias("kept")))
+        again = found.join(firsts, "chunk_hash").where(~site.eqNullSafe(F.col("kept.site"))).join(doubtful, "chunk_hash", "left_anti")
+        alike = lambda side: F.lit(not lines_too) & (F.col(side) == F.col(f"kept.{side}"))
+        start, stop = F.when(alike("before"), F.col("from")).otherwise(F.col("start")), F.when(alike("after"), F.col("to")).otherwise(F.col("stop"))
+        return written(again.select("doc_id", "text_hash", start.alias("start"), stop.alias("stop")))
+
+
+def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending (start, stop) of what spans that overlap or adjoin cover together."""
+    out: list[list[int]] = []
+    for start, stop in sorted(set(spans)):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return [(a, b) for a, b in out]
 
 
 def _removals(repeated: DataFrame) -> DataFrame:
@@ -170,12 +345,11 @@ def _removals(repeated: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())]))
         for batch in batches:
-            cuts = [[{"start": a, "stop": b} for a, b in runs([(s["start"], s["stop"], s["words"]) for s in spans])] for spans in batch.column(2).to_pylist()]
-            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)], ["_id", "_hash", "_cuts"])
-            yield rows.filter(pa.array([bool(x) for x in cuts]))
+            cuts = [[{"start": a, "stop": b} for a, b in runs([(s["start"], s["stop"]) for s in spans])] for spans in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)], ["_id", "_hash", "_cuts"])
 
-    # a document's own chunks
-    spans = repeated.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop", "words")).alias("spans"))
+    # a document's own chunks, each once
+    spans = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return spans.mapInArrow(run, "_id long, _hash long, _cuts array<struct<start: int, stop: int>>")
 
 
@@ -193,14 +367,15 @@ def _without(text: Column, cuts: Column) -> Column:
     return F.when(F.element_at(cuts, -1)["stop"] == size, F.regexp_replace(left, r"[ \n]\z", "")).otherwise(left)
 
 
-def without_repeated_lines(documents: DataFrame) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, line_hash: Callable[[bytes], int] = xxh64_intdigest) -> DataFrame:
     """``documents`` with repeated passages cut out of ``text``; every row and other column stays.
 
-    A document of which nothing is left has an empty text; null texts stay null. A column
-    ``removed_passages`` (int, 0 where the text is as it was) is added, in place of any of that
-    name.
+    A document of which nothing is left has an empty text; null texts stay null, and texts of fewer
+    than ``LEAST_LINES`` lines stay as they are. A column ``removed_passages`` (int, 0 where the
+    text is as it was) is added, in place of any of that name. Lines that share their hash with a
+    line of other bytes, of which about one in 2**64 pairs does, are left.
     """
-    cuts = written(_removals(repeated_chunks(documents)))
+    cuts = written(_removals(repeated_chunks(documents, line_hash)))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     joined = documents.drop("removed_passages").join(small(cuts), same, "left")
     text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_cuts")))

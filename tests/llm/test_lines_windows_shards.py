@@ -1,44 +1,120 @@
 import itertools
+import sys
 import zlib
 from collections import Counter
 
+import numpy as np
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from texts import prose
 
 from tessera.llm.decontamination import RADIUS, SIMILARITY, contaminated, without_contaminated
-from tessera.llm.line_dedup import LEAST_WORDS, chunks, without_repeated_lines
+from tessera.llm.line_dedup import BYTES_A_WORD, WRAP_REACH, WRAP_WORDS, Lines, without_repeated_lines
 from tessera.llm.sharding import read_shards, shard_of, write_shards
 
-# --- line dedup
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this folder
+
+# --- line dedup: the rules once more, letter by letter, with Python's numbers
+
+FULL = 2**64 - 1
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def mixed(x):
+    x = (x ^ x >> 32) * ODD[0] & FULL
+    x = (x ^ x >> 29) * ODD[1] & FULL
+    return x ^ x >> 32
+
+
+def hash_around(raw, at):
+    before, after = (int.from_bytes(raw[i : i + 8].ljust(8, b"\0"), "little") for i in (at - 8, at))
+    return mixed(before * ODD[2] & FULL ^ after * ODD[3] & FULL)
+
+
+def plain_lines(text):
+    """(start, end of content, stop) of the lines of a text."""
+    raw, ends, wide = text.encode(), [], {len(text[:i].encode()): c for i, c in enumerate(text)}
+    for i in range(len(raw)):
+        c = raw[i : i + 1]
+        if c == b"\n" or c == b" " and i and raw[i - 1 : i] in (b".", b"!", b"?") or i + 1 == len(raw):
+            ends.append(i + 1)
+        elif wide.get(i) in tuple("。！？"):
+            ends.append(i + 3)
+    out, start = [], 0
+    for end in sorted(set(ends)):
+        line = raw[start:end]
+        places = [start + i + 1 for i in range(len(line)) if line[i : i + 1] == b" "] + [i + 3 for i, c in wide.items() if start <= i < end and c in "、，；："]
+        inner = len([x for x in places if start < x < end])
+        if inner >= WRAP_WORDS or len(line) > 2 * WRAP_WORDS * BYTES_A_WORD:
+            if len(line) > 4 * BYTES_A_WORD * (inner + 1):
+                places += [i for i in wide if start <= i < end and hash_around(b"\0" * 8 + raw + b"\0" * 8, i + 8) & 3 == 0]
+            places = sorted(x for x in set(places) if x < end and x >= 8 and x + 8 <= len(raw))
+            hashes = [hash_around(raw, x) for x in places]
+            for i in range(WRAP_REACH, len(places) - WRAP_REACH):
+                if all(hashes[i] < hashes[i + k] for k in range(-WRAP_REACH, WRAP_REACH + 1) if k):
+                    out.append((start if not out or out[-1][2] < start else out[-1][2], places[i], places[i]))
+        last = out[-1][2] if out and out[-1][2] > start else start
+        out.append((last, end, end))
+        start = end
+    found = []
+    for a, _, b in out:
+        content = raw[a:b].rstrip(b" \n")
+        if content:
+            found.append([a, a + len(content), b])
+        elif found:
+            found[-1][2] = b
+    return raw, [tuple(x) for x in found]
+
+
+def plain_chunks(text):
+    """The lines of a text, their contents, and (first, last) lines of its chunks."""
+    raw, lines = plain_lines(text)
+    contents = [raw[a:b] for a, b, _ in lines]
+    hashes = [xxhash.xxh64_intdigest(x) for x in contents]
+    kinds = [mixed((hashes[i] * ODD[2] + hashes[i + 1] * ODD[3]) & FULL) >> 63 for i in range(len(lines) - 1)]
+    out = []
+    for kind in (0, 1):
+        at = [i for i, k in enumerate(kinds) if k == kind]
+        for first, last in zip([0, *at], [*(i + 1 for i in at), len(lines) - 1], strict=True):
+            if last - first >= 2:
+                    out.append((first, last))
+    return lines, contents, out
 
 
 def plain_dedup(rows):
-    """{(doc_id, text): new text}, chunk texts compared themselves."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")):
-        raw, marked = (text or "").encode(), []
-        for start, end, words, chunk in chunks(raw):
-            if chunk in seen:
-                marked.append((start, end, words))
-            seen.add(chunk)
-        left, at, last = b"", 0, None
-        for start, end in [*_plain_runs(marked), (len(raw), None)]:
-            left, last = left + raw[at:start], end if end is not None else last
-            at = end
-        if last == len(raw) and marked and left[-1:] in (b" ", b"\n"):
+    """{(doc_id, text): new text}: the first place of each chunk stays."""
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, HASHES[r[1]] if r[1] is not None else 0))
+    seen, cuts = {}, {}
+    for row in order:
+        cuts[row] = set()
+        lines, contents, found = plain_chunks(row[1] or "")
+        padded = [b"", *contents, b""]
+        for first, last in sorted(found):
+            start, stop = lines[first][0], lines[last][2]
+            before, after = padded[first], padded[last + 2]
+            kept = seen.setdefault(tuple(contents[first : last + 1]), (row, start, before, after))
+            if kept[:2] != (row, start):
+                start = lines[first - 1][0] if before and before == kept[2] else start
+                stop = lines[last + 1][2] if after and after == kept[3] else stop
+                cuts[row] |= set(range(start, stop))
+    out = {}
+    for row in order:
+        raw = (row[1] or "").encode()
+        left = bytes(b for i, b in enumerate(raw) if i not in cuts[row])
+        if raw and len(raw) - 1 in cuts[row] and left[-1:] in (b" ", b"\n"):
             left = left[:-1]
-        out[doc_id, text] = None if text is None else left.decode()
+        out[row] = None if row[1] is None else left.decode()
     return out
 
 
-def _plain_runs(marked):
-    found = []
-    for start, end, words in marked:
-        if found and found[-1][1] == start:
-            found[-1] = (found[-1][0], end, found[-1][2] + words)
-        else:
-            found.append((start, end, words))
-    return [(a, b) for a, b, n in found if n >= LEAST_WORDS]
+HASHES = {}
+
+
+def learn_hashes(spark, rows):
+    """The order of texts of one id is that of their hashes."""
+    texts = list({t for _, t in rows if t is not None})
+    HASHES.update(map(tuple, spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text")).collect()))
 
 
 def sentences(rng, n):
@@ -48,33 +124,95 @@ def sentences(rng, n):
     return " ".join(" ".join(x).capitalize() + rng.choice(".!?") for x in out)
 
 
-def test_chunks_partition_what_they_keep(rng):
-    for _ in range(200):
-        text = "".join(rng.choice("a. \n!é") for _ in range(rng.randint(0, 30))).encode()
-        at = 0
-        for start, end, _, content in chunks(text):
-            assert start >= at and not text[at:start].strip() and content and text[start:end].rstrip(b" \n") == content
-            at = end
-        assert not text[at:].strip()
-
-
-def test_line_dedup_equals_brute_force(spark, rng):
+def odd_text(rng):
+    alphabet = "a. \n!é漢。、，字々"
+    return "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 30]) for _ in range(rng.randint(0, 60)))
+
+
+def test_lines_and_chunks_equal_the_plain_rules(rng):
+    texts = [odd_text(rng) for _ in range(150)] + [sentences(rng, 200) for _ in range(10)] + [prose(rng, 300) for _ in range(5)]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(rng.randint(50, 400))) for _ in range(10)] + [" x. y", ". . .", " ", "", "".join(rng.choice("0123456789abcdef") for _ in range(900)), "щ" * 900]
+    rng.shuffle(texts)
+    raws = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, raws)])
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    lines = Lines.of(data, bounds)
+    first, end, hashes = lines.chunks()
+    by_content = {}
+    for i, text in enumerate(texts):
+        mine = lines.text == i
+        assert [tuple(int(x) for x in r) for r in np.column_stack([lines.start, lines.content, lines.stop])[mine] - bounds[i]] == plain_lines(text)[1], repr(text)
+        got = []
+        for a, b, h in zip(first, end, hashes, strict=True):
+            if lines.text[a] == i:
+                contents = tuple(bytes(data[lines.start[j] : lines.content[j]]) for j in range(a, b + 1))
+                got.append((int(lines.start[a] - bounds[i]), int(lines.stop[b] - bounds[i]), contents))
+                assert by_content.setdefault(contents, h) == h
+        of, contents, found = plain_chunks(text)
+        assert sorted(got) == sorted((of[x][0], of[y][2], tuple(contents[x : y + 1])) for x, y in found)
+    assert len(set(by_content.values())) == len(by_content)
+
+
+def corpus_with_passages(rng):
     passages = ["\n".join(sentences(rng, rng.choice([4, 12, 60])) for _ in range(rng.randint(1, 5))) for _ in range(6)]
     rows = []
     for i in range(50):
         parts = [sentences(rng, rng.choice([3, 15, 70])) for _ in range(rng.randint(0, 4))] + rng.sample(passages, rng.randint(0, 3))
         rng.shuffle(parts)
         rows.append((i, rng.choice(" \n").join(parts)))
-    rows += [(70, rows[3][1]), (71, rows[3][1]), (None, rows[4][1]), (72, None), (73, ""), (5, rows[5][1]), (None, None)]
+    rows += [(70, rows[3][1]), (71, rows[3][1]), (None, rows[4][1]), (72, None), (73, ""), (5, rows[6][1]), (None, None), (80, "again and again.\n" * 30), (81, "again and again.\n" * 3)]
+    return rows + rows[7:9]
+
+
+def test_line_dedup_equals_brute_force(spark, rng):
+    rows = corpus_with_passages(rng)
+    learn_hashes(spark, rows)
     got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     expected = plain_dedup(rows)
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, expected[i, t]) for i, t in rows)
-    assert any(r.removed_passages for r in got)
+    assert sum(r.removed_passages > 0 for r in got) > 20
+
+
+def test_hashes_that_say_too_much_cut_nothing(spark, rng):
+    rows = corpus_with_passages(rng)
+    got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), lambda line: len(line) % 3).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    # one pair of lines that share a hash: chunks with either stay, others go
+    texts = ["one two.\nthree four.\nfive six.\nseven eight.", "left out.\nnine ten.\neleven.\ntwelve.\nthirteen."]
+    rows = [(i, texts[i % 2]) for i in range(4)]
+    clash = lambda line: 5 if bytes(line) in (b"one two.", b"two one.") else xxhash.xxh64_intdigest(line)
+    rows += [(9, "two one.\nthree four.\nfive six.\nseven eight.")]
+    got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), clash).collect()}
+    assert got[3] == "" and "one two." in got[2] and "two one." in got[9]
+
+
+def test_every_removed_line_stands_at_an_earlier_place_that_stays(spark, rng):
+    words = [line.capitalize() + "." for line in {prose(rng, 2) for _ in range(6)}]
+    rows = [(i, "\n".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {line for t in got.values() for line in t.split("\n")}
+    assert {line for _, t in rows for line in t.split("\n")} <= left | {""}
+    assert sum(map(len, got.values())) < 0.8 * sum(len(t) for _, t in rows)
+
+
+def test_every_line_of_a_shared_passage_goes(spark, rng):
+    line = lambda: prose(rng, rng.randint(1, 12)).capitalize() + "."
+    rows, passages = [], []
+    for n in (4, 4, 4, 4, 5, 5, 6, 7, 9, 20) * 4:
+        passage = [line() for _ in range(n)]
+        passages.append(passage)
+        for _ in range(2):
+            rows.append((len(rows), "\n".join([line(), line(), *passage, line(), line()])))
+    got = {r.doc_id: r.text for r in without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for j, passage in enumerate(passages):
+        assert got[2 * j] == rows[2 * j][1]  # the first stays
+        own = rows[2 * j + 1][1].split("\n")
+        assert got[2 * j + 1].split("\n") == own[:2] + own[-2:]
 
 
 def test_passages_of_over_fifty_words_go_wherever_they_stand(spark, rng):
-    found = total = 0
+    removed = []
     passages = [sentences(rng, rng.randint(51, 90)) for _ in range(30)]
     rows = [(0, sentences(rng, 40)), (1, sentences(rng, 300))]
     for passage in passages:
@@ -86,9 +224,9 @@ def test_passages_of_over_fifty_words_go_wherever_they_stand(spark, rng):
     for j, passage in enumerate(passages):
         assert got[2 + 3 * j] == rows[2 + 3 * j][1]  # the first stays
         for k in (1, 2):
-            total += 1
-            found += passage not in got[2 + 3 * j + k]
-    assert found >= 0.95 * total
+            at = 2 + 3 * j + k
+            removed.append((len(rows[at][1].split()) - len(got[at].split())) / len(passage.split()))
+    assert np.mean(removed) > 0.95 and min(removed) > 0.7 and max(removed) <= 1
 
 
 def test_clean_and_awkward_rows_stay(spark, awkward, empty):
@@ -97,6 +235,15 @@ def test_clean_and_awkward_rows_stay(spark, awkward, empty):
     assert without_repeated_lines(empty).count() == 0
 
 
+def test_filters_of_any_size_select_alike(spark, rng, monkeypatch):
+    import tessera.llm.line_dedup as module
+
+    rows = spark.createDataFrame(corpus_with_passages(rng), "doc_id long, text string")
+    once = Counter(map(tuple, without_repeated_lines(rows).collect()))
+    monkeypatch.setattr(module, "FILTER_BITS", 0)  # no filter
+    assert Counter(map(tuple, without_repeated_lines(rows).collect())) == once
+
+
 # --- decontamination
 
 
