@@ -41,10 +41,10 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,8 +61,8 @@ class Scratch:
     def __init__(self) -> None:
         self._paths: list[tuple[SparkSession, str]] = []
 
-    def written(self, df: DataFrame) -> DataFrame:
-        out, path = written_at(df)
+    def written(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        out, path = written_at(df, compression)
         self._paths.append((df.sparkSession, path))
         return out
 
