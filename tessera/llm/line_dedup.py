@@ -17,7 +17,8 @@ the least doc_id, then text hash, then place. So every line that is removed stan
 at an earlier place that stays.
 
 Hashes alone cut nothing: a chunk's hash counts where it stands for one row of line hashes, and
-each of these for one line, whose bytes are compared.
+each of these for one line, whose bytes are compared. What a text repeats of itself is found where
+the text is; only the first place of a chunk in each text goes on to be compared with other texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -37,18 +39,19 @@ from tessera.llm.common import Scratch, in_small_batches, small, written
 LEAST_LINES = 3
 #: Lines of more words are cut inside, where a place's hash is less than those of as many places
 #: on each side. Where writing has no spaces, so many bytes count as a word.
-WRAP_WORDS, WRAP_REACH = 16, 3
+WRAP_WORDS, WRAP_REACH = 16, 5
 BYTES_A_WORD = 9
 #: Bits of the filter of repeated hashes for each of them, and at most; beyond, the join alone selects.
 FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 28
 BUCKET_BITS = 1 << 15
-#: Bytes of texts that are cut at once, and rows that a task hands over at once.
+#: Bytes of texts that are cut at once.
 SLICE_BYTES = 1 << 21
-ROWS_AT_ONCE = 10_000
 
 _SPACE, _BREAK = 32, 10
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[_SPACE, _BREAK]] = True
 #: Stops and commas of Chinese and Japanese in UTF-8.
 _WIDE_STOPS = ("。".encode(), "！".encode(), "？".encode())
 _WIDE_COMMAS = ("、".encode(), "，".encode(), "；".encode(), "：".encode())
@@ -88,21 +91,29 @@ def _line_ends(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     places = np.sort(np.concatenate([spaces + 1, _after(data, _WIDE_COMMAS)])) if wide else spaces + 1
     starts = np.append(0, ends[:-1])
     size = ends - starts
-    places_in = np.searchsorted(places, ends) - np.searchsorted(places, starts, side="right")
+    text = np.searchsorted(bounds, starts, side="right") - 1
+
+    def inside(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places inside of lines, and the number of each one's line."""
+        line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(places, ends, side="right"), prepend=0))
+        places = places[: len(line)]
+        some = (places < ends[line]) & (places > starts[line])
+        return places[some], line[some]
+
+    places, line = inside(places)
+    places_in = np.bincount(line, minlength=len(ends))
     long = (places_in >= WRAP_WORDS) | (size > 2 * WRAP_WORDS * BYTES_A_WORD)
     if not long.any():
         return ends
     dense = long & (size > 4 * BYTES_A_WORD * (places_in + 1))
     if dense.any():
         # lines without words are cut between letters, at a quarter of the places between them
-        letters = np.flatnonzero((data & 0xC0) != 0x80)
-        letters = letters[dense[np.minimum(np.searchsorted(ends, letters, side="right"), len(ends) - 1)]]
-        places = np.union1d(places, letters[(_hash_at(data, letters) & np.uint64(3)) == 0])
-    line = np.searchsorted(ends, places, side="left")
-    inside = (line < len(ends)) & (places < ends[np.minimum(line, len(ends) - 1)])
-    places, line = places[inside], line[inside]
-    text = np.searchsorted(bounds, places, side="right") - 1
-    some = long[line] & (places - 8 >= bounds[text]) & (places + 8 <= bounds[text + 1])
+        letters, of = inside(np.flatnonzero((data & 0xC0) != 0x80))
+        letters = letters[dense[of]]
+        places, line = inside(np.union1d(places, letters[(_hash_at(data, letters) & np.uint64(3)) == 0]))
+    some = long[line]
+    places, line = places[some], line[some]
+    some = (places - 8 >= bounds[text[line]]) & (places + 8 <= bounds[text[line] + 1])
     places, line = places[some], line[some]
     if len(places) <= 2 * WRAP_REACH:
         return ends
@@ -143,8 +154,11 @@ class Lines:
     def of(cls, data: np.ndarray, bounds: np.ndarray, line_hash: Callable[[bytes], int] = xxh64_intdigest) -> Lines:
         ends = _line_ends(data, bounds) if len(data) else np.zeros(0, np.int64)
         starts = np.append(0, ends[:-1])[: len(ends)]
-        filled = np.maximum.accumulate(np.where((data == _SPACE) | (data == _BREAK), -1, np.arange(len(data)))) if len(data) else data
-        content = filled[ends - 1] + 1 if len(ends) else ends
+        content = ends.copy()
+        for _ in range(4):  # what is left after so many characters is seldom
+            content -= (content > starts) & _BLANK[data[content - 1]]
+        if ((content > starts) & _BLANK[data[content - 1]]).any():
+            content = np.maximum(starts, np.maximum.accumulate(np.where(_BLANK[data], -1, np.arange(len(data))))[ends - 1] + 1)
         some = content > starts
         starts, content = starts[some], content[some]
         text = np.searchsorted(bounds, starts, side="right") - 1
@@ -154,6 +168,19 @@ class Lines:
         hashes = np.fromiter((line_hash(view[a:b]) for a, b in zip(starts.tolist(), content.tolist(), strict=True)), np.uint64, len(starts))
         return cls(text, starts, content, stop, hashes)
 
+    def doubtful(self, data: np.ndarray) -> np.ndarray:
+        """Which lines share their hash with a line here of other bytes."""
+        order = np.argsort(self.hash, kind="stable")
+        equal = np.flatnonzero(self.hash[order][1:] == self.hash[order][:-1]) if len(order) else order
+        a, b = order[equal], order[equal + 1]
+        size = self.content - self.start
+        view = memoryview(data)
+        differ = size[a] != size[b]
+        for i in np.flatnonzero(~differ).tolist():
+            x, y, n = int(self.start[a[i]]), int(self.start[b[i]]), int(size[a[i]])
+            differ[i] = view[x : x + n] != view[y : y + n]
+        return np.isin(self.hash, self.hash[a[differ]]) if differ.any() else np.zeros(len(self.hash), bool)
+
     def beside(self, line: np.ndarray, step: int) -> np.ndarray:
         """The lines before (-1) or after (1) some, or these where their text has none there."""
         if not len(line):
@@ -195,12 +222,75 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
+@dataclass
+class Chunks:
+    """The chunks of a slice of texts, by text and place: first and last line, hash, and the first
+    chunk of the text that is the same (itself, if there is none before)."""
+
+    lines: Lines
+    first: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    origin: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, bounds: np.ndarray, line_hash: Callable[[bytes], int]) -> Chunks:
+        lines = Lines.of(data, bounds, line_hash)
+        first, end, hashes = lines.chunks()
+        usable = np.ones(len(first), bool)
+        doubtful = lines.doubtful(data)
+        if doubtful.any():
+            before = np.append(0, np.cumsum(doubtful))
+            usable = before[np.minimum(end + 2, len(lines.hash))] == before[np.maximum(first - 1, 0)]
+        order = np.flatnonzero(usable)
+        order = order[np.argsort(first[order], kind="stable")]
+        first, end, hashes = first[order], end[order], hashes[order]
+        in_text = hashes ^ lines.text[first].astype(np.uint64) * _ODD[3]
+        by_hash = np.argsort(in_text, kind="stable")
+        same = np.append(False, in_text[by_hash][1:] == in_text[by_hash][:-1])[: len(first)]
+        origin = np.empty(len(first), np.int64)
+        origin[by_hash] = by_hash[np.maximum.accumulate(np.where(same, 0, np.arange(len(first))))] if len(first) else by_hash
+        later = np.flatnonzero(origin != np.arange(len(first)))
+        row = lambda i: lines.hash[first[i] : end[i] + 1].tobytes()
+        for i, j in zip(later.tolist(), origin[later].tolist(), strict=True):
+            if lines.text[first[i]] != lines.text[first[j]] or row(i) != row(j):
+                origin[i] = i
+        return cls(lines, first, end, hashes, origin)
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, stop) of what texts repeat of themselves, with a line on either side that
+        does."""
+        lines, later = self.lines, np.flatnonzero(self.origin != np.arange(len(self.first)))
+        of = self.origin[later]
+        ends = []
+        for edge, step in ((self.first, -1), (self.end, 1)):
+            mine, its = lines.beside(edge[later], step), lines.beside(edge[of], step)
+            alike = (mine != edge[later]) & (its != edge[of]) & (lines.hash[mine] == lines.hash[its])
+            ends.append(np.where(alike, mine, edge[later]))
+        text = lines.text[ends[0]] if len(later) else later
+        return merged(text, lines.start[ends[0]], lines.stop[ends[1]])
+
+
+def merged(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop), ascending, of what spans that overlap or adjoin cover together."""
+    if not len(text):
+        return text, start, stop
+    order = np.lexsort((start, text))
+    text, start, stop = text[order], start[order], stop[order]
+    shift = text.astype(np.int64) << 32  # no text has as many bytes
+    reach = np.maximum.accumulate(shift + stop)
+    new = np.append(True, (shift + start)[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(text)) - 1
+    return text[new], start[new], (reach - shift)[last]
+
+
 def _chunk_hashes(rows: DataFrame, line_hash: Callable[[bytes], int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in _slices(batch.column(2)):
-                found = Lines.of(data, bounds, line_hash).chunks()[2]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["chunk_hash"])
+                found = Chunks.of(data, bounds, line_hash)
+                once = found.hash[found.origin == np.arange(len(found.hash))]
+                yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], ["chunk_hash"])
 
     return rows.mapInArrow(run, "chunk_hash long")
 
@@ -228,81 +318,72 @@ def _passes(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     return (bits[bucket * np.uint64(BUCKET_BITS // 8) + (place >> np.uint64(3))] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-#: A chunk's place, and beside it: the hashes of the lines before and after it (0 at the text's
-#: ends), and where the former starts and the latter stops.
-SITES = "doc_id long, text_hash long, chunk_hash long, start int, stop int, before long, after long, from int, to int"
+#: Rows of three kinds. Places: a chunk's first place in a text, the hashes of the lines before and
+#: after it (0 at the text's ends), and where the former starts and the latter stops. Repeats: from
+#: where to where a text repeats itself. Evidence: for a chunk's hash its lines' hashes, and for
+#: the hash of such a line, or one beside it, its bytes.
+PLACE, REPEAT, OF_CHUNK, OF_LINE = range(4)
+FOUND = "kind int, doc_id long, text_hash long, hash long, start int, stop int, before long, after long, from int, to int, content binary"
 
 
-def _shared(rows: DataFrame, bits: bytes | None):
-    return rows.sparkSession.sparkContext.broadcast(bits)
+def _rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "doc_id": pa.int64(), "text_hash": pa.int64(), "hash": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
+    types |= {"before": pa.int64(), "after": pa.int64(), "from": pa.int32(), "to": pa.int32(), "content": pa.binary()}
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in types.items()], list(types))
 
 
-def _bits(shared) -> np.ndarray | None:
-    return None if shared.value is None else np.frombuffer(shared.value, np.uint8)
-
-
-def _sites(rows: DataFrame, shared, line_hash: Callable[[bytes], int]) -> DataFrame:
-    """``SITES`` of every chunk whose hash passes the filter."""
+def _found(rows: DataFrame, bits: bytes | None, line_hash: Callable[[bytes], int]) -> DataFrame:
+    """``FOUND`` of the chunks whose hash passes the filter, and of all that texts repeat of themselves."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(shared)
+        filled = None if shared.value is None else np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at, data, bounds in _slices(batch.column(2)):
-                lines = Lines.of(data, bounds, line_hash)
-                first, end, hashes = lines.chunks()
-                some = _passes(bits, hashes)
-                first, end, hashes = first[some], end[some], hashes[some]
-                text = lines.text[first]
-                of = pa.array(text + at)
-                previous, following = lines.beside(first, -1), lines.beside(end, 1)
-                places = [lines.start[first], lines.stop[end], lines.start[previous], lines.stop[following]]
-                start, stop, begin, to = (pa.array((x - bounds[text]).astype(np.int32)) for x in places)
-                before, after = (pa.array(np.where(x == of_chunk, 0, lines.hash[x].view(np.int64))) for x, of_chunk in ((previous, first), (following, end)))
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(hashes.view(np.int64)), start, stop, before, after, begin, to]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "chunk_hash", "start", "stop", "before", "after", "from", "to"])
+                found = Chunks.of(data, bounds, line_hash)
+                lines = found.lines
 
-    return rows.mapInArrow(run, SITES)
+                def placed(text: np.ndarray, at=at, bounds=bounds, batch=batch, **places: np.ndarray) -> dict[str, pa.Array]:
+                    of = pa.array(text + at)
+                    return {k: pa.array((x - bounds[text]).astype(np.int32)) for k, x in places.items()} | {"doc_id": batch.column(0).take(of), "text_hash": batch.column(1).take(of)}
 
+                text, start, stop = found.repeats()
+                yield _rows(REPEAT, len(text), **placed(text, start=start, stop=stop))
 
-def _evidence(rows: DataFrame, shared, line_hash: Callable[[bytes], int]) -> DataFrame:
-    """(of_chunk boolean, hash long, content binary), each once: for the chunks whose hash passes
-    the filter their lines' hashes, and for those lines and the ones beside them their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(shared)
-        for batch in batches:
-            for _, data, bounds in _slices(batch.column(0)):
-                lines = Lines.of(data, bounds, line_hash)
-                first, end, hashes = lines.chunks()
-                some = _passes(bits, hashes)
-                first, end, hashes = first[some], end[some], hashes[some]
-                depth = np.zeros(len(lines.hash) + 1, np.int64)
-                np.add.at(depth, lines.beside(first, -1), 1)
-                np.add.at(depth, lines.beside(end, 1) + 1, -1)
-                covered = np.flatnonzero(np.cumsum(depth)[:-1]).tolist()
+                some = (found.origin == np.arange(len(found.hash))) & _passes(filled, found.hash)
+                first, end, hashes = found.first[some], found.end[some], found.hash[some]
+                previous, following = lines.beside(first, -1), lines.beside(end, 1)
+                sides = {"start": lines.start[first], "stop": lines.stop[end], "from": lines.start[previous], "to": lines.stop[following]}
+                before, after = (pa.array(np.where(x == edge, 0, lines.hash[x].view(np.int64))) for x, edge in ((previous, first), (following, end)))
+                yield _rows(PLACE, len(first), hash=pa.array(hashes.view(np.int64)), before=before, after=after, **placed(lines.text[first], **sides))
+
+                # in a slice a line's hash stands for one content, or the line is in no chunk
+                depth = np.bincount(previous, minlength=len(lines.hash) + 1) - np.bincount(following + 1, minlength=len(lines.hash) + 1)
+                covered = np.flatnonzero(np.cumsum(depth)[:-1])
+                covered = covered[np.unique(lines.hash[covered], return_index=True)[1]]
+                contents = {lines.hash[a : b + 1].tobytes(): h for a, b, h in zip(first.tolist(), end.tolist(), hashes.view(np.int64).tolist(), strict=True)}
+                yield _rows(OF_CHUNK, len(contents), hash=pa.array(contents.values(), pa.int64()), content=pa.array(contents.keys(), pa.binary()))
                 view = memoryview(data)
-                found = {(True, h, lines.hash[a : b + 1].tobytes()) for h, a, b in zip(hashes.view(np.int64).tolist(), first.tolist(), end.tolist(), strict=True)}
-                found |= {(False, h, bytes(view[lines.start[i] : lines.content[i]])) for i, h in zip(covered, lines.hash[covered].view(np.int64).tolist(), strict=True)}
-                held = list(found)
-                for at in range(0, len(held), ROWS_AT_ONCE):
-                    kinds, of, contents = zip(*held[at : at + ROWS_AT_ONCE], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.bool_()), pa.array(of, pa.int64()), pa.array(contents, pa.binary())], ["of_chunk", "hash", "content"])
-
-    return rows.select("text").mapInArrow(run, "of_chunk boolean, hash long, content binary").distinct()
-
-
-def _doubtful(evidence: DataFrame) -> tuple[DataFrame, bool]:
-    """(chunk_hash) of the chunks whose hash, or a line's, stands for several contents; and whether
-    a line's does."""
-    several = written(evidence.groupBy("of_chunk", "hash").agg(F.count("*").alias("n")).where("n > 1").select("of_chunk", "hash"))
-    chunks = several.where("of_chunk").select(F.col("hash").alias("chunk_hash"))
-    if several.where("not of_chunk").isEmpty():
+                contents = [bytes(view[a:b]) for a, b in zip(lines.start[covered].tolist(), lines.content[covered].tolist(), strict=True)]
+                yield _rows(OF_LINE, len(covered), hash=pa.array(lines.hash[covered].view(np.int64)), content=pa.array(contents, pa.binary()))
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def _doubtful(found: DataFrame) -> tuple[DataFrame, bool]:
+    """(hash) of the chunks whose hash, or a line's, stands for several contents; and whether a
+    line's does."""
+    evidence = found.where(F.col("kind") >= OF_CHUNK).select("kind", "hash", "content")
+    several = written(evidence.distinct().groupBy("kind", "hash").agg(F.count("*").alias("n")).where("n > 1").select("kind", "hash"))
+    chunks = several.where(F.col("kind") == OF_CHUNK).select("hash")
+    if several.where(F.col("kind") == OF_LINE).isEmpty():
         return chunks, False
     at = F.sequence(F.lit(1), F.octet_length("content"), F.lit(8))
-    each = evidence.where("of_chunk").select(F.col("hash").alias("chunk_hash"), F.explode(F.transform(at, lambda i: F.substring("content", i, F.lit(8)))).alias("raw"))
+    each = evidence.where(F.col("kind") == OF_CHUNK).select("hash", F.explode(F.transform(at, lambda i: F.substring("content", i, F.lit(8)))).alias("raw"))
     digits = F.lpad(F.hex("hash"), 16, "0")
-    lines = several.where("not of_chunk").select(F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])).alias("raw"))
-    return chunks.unionAll(each.join(lines, "raw", "left_semi").select("chunk_hash")).distinct(), True
+    lines = several.where(F.col("kind") == OF_LINE).select(F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])).alias("raw"))
+    return chunks.unionAll(each.join(lines, "raw", "left_semi").select("hash")).distinct(), True
 
 
 def repeated_chunks(documents: DataFrame, line_hash: Callable[[bytes], int] = xxh64_intdigest) -> DataFrame:
@@ -315,38 +396,36 @@ def repeated_chunks(documents: DataFrame, line_hash: Callable[[bytes], int] = xx
     with Scratch() as scratch:
         counts = _chunk_hashes(rows, line_hash).groupBy("chunk_hash").agg(F.count("*").alias("n"))
         repeated = scratch.written(counts.where("n > 1").select("chunk_hash"))
-        shared = _shared(rows, _filter(repeated))
-        found = scratch.written(_sites(rows, shared, line_hash).join(repeated, "chunk_hash", "left_semi"))
-        chunks, lines_too = _doubtful(_evidence(rows, shared, line_hash))
+        bits = _filter(repeated)
+        found = _found(rows, bits, line_hash)
+        if bits is None:  # no filter holds that many; a join does its work
+            found = found.join(repeated.withColumn("kind", F.lit(PLACE)).withColumnRenamed("chunk_hash", "hash"), ["kind", "hash"], "left_semi").unionByName(found.where(F.col("kind") != PLACE))
+        found = scratch.written(found, compression="zstd")
+        chunks, lines_too = _doubtful(found)
         doubtful = scratch.written(chunks)
-        shared.destroy()
+        own = found.where(F.col("kind") == REPEAT).select("doc_id", "text_hash", "start", "stop")
+        places = found.where(F.col("kind") == PLACE).drop("kind", "content")
         site = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-        firsts = scratch.written(found.groupBy("chunk_hash").agg(F.min(F.struct(site.alias("site"), "before", "after")).alias("kept")))
-        again = found.join(firsts, "chunk_hash").where(~site.eqNullSafe(F.col("kept.site"))).join(doubtful, "chunk_hash", "left_anti")
+        least = F.min(F.struct(site.alias("site"), "before", "after")).alias("kept")
+        firsts = scratch.written(places.groupBy("hash").agg(least, F.count("*").alias("n")).where("n > 1").select("hash", "kept"))
+        again = places.join(firsts, "hash").where(~site.eqNullSafe(F.col("kept.site"))).join(doubtful, "hash", "left_anti")
         alike = lambda side: F.lit(not lines_too) & (F.col(side) == F.col(f"kept.{side}"))
         start, stop = F.when(alike("before"), F.col("from")).otherwise(F.col("start")), F.when(alike("after"), F.col("to")).otherwise(F.col("stop"))
-        return written(again.select("doc_id", "text_hash", start.alias("start"), stop.alias("stop")))
-
-
-def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ascending (start, stop) of what spans that overlap or adjoin cover together."""
-    out: list[list[int]] = []
-    for start, stop in sorted(set(spans)):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [(a, b) for a, b in out]
+        return written(again.select("doc_id", "text_hash", start.alias("start"), stop.alias("stop")).unionAll(own))
 
 
 def _removals(repeated: DataFrame) -> DataFrame:
     """(_id, _hash, _cuts array<struct<start, stop>>): what goes from each document that loses anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("stop", pa.int32())]))
         for batch in batches:
-            cuts = [[{"start": a, "stop": b} for a, b in runs([(s["start"], s["stop"]) for s in spans])] for spans in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)], ["_id", "_hash", "_cuts"])
+            spans = batch.column(2)
+            sizes = pc.list_value_length(spans).to_numpy(zero_copy_only=False)
+            each = spans.flatten()
+            text, start, stop = merged(np.repeat(np.arange(len(sizes)), sizes), each.field("start").to_numpy(), each.field("stop").to_numpy())
+            offsets = np.append(0, np.cumsum(np.bincount(text, minlength=len(sizes)))).astype(np.int32)
+            both = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["start", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), both)], ["_id", "_hash", "_cuts"])
 
     # a document's own chunks, each once
     spans = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -373,7 +452,7 @@ def without_repeated_lines(documents: DataFrame, line_hash: Callable[[bytes], in
     A document of which nothing is left has an empty text; null texts stay null, and texts of fewer
     than ``LEAST_LINES`` lines stay as they are. A column ``removed_passages`` (int, 0 where the
     text is as it was) is added, in place of any of that name. Lines that share their hash with a
-    line of other bytes, of which about one in 2**64 pairs does, are left.
+    line of other bytes, as about one in 2**64 pairs does, are left.
     """
     cuts = written(_removals(repeated_chunks(documents, line_hash)))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))

@@ -90,10 +90,15 @@ def plain_dedup(rows):
         cuts[row] = set()
         lines, contents, found = plain_chunks(row[1] or "")
         padded = [b"", *contents, b""]
+        own = {}
         for first, last in sorted(found):
             start, stop = lines[first][0], lines[last][2]
             before, after = padded[first], padded[last + 2]
-            kept = seen.setdefault(tuple(contents[first : last + 1]), (row, start, before, after))
+            here = (row, start, before, after)
+            # the first place in the text itself, or else in all texts
+            kept = own.setdefault(tuple(contents[first : last + 1]), here)
+            if kept == here:
+                kept = seen.setdefault(tuple(contents[first : last + 1]), here)
             if kept[:2] != (row, start):
                 start = lines[first - 1][0] if before and before == kept[2] else start
                 stop = lines[last + 1][2] if after and after == kept[3] else stop
