@@ -1,41 +1,68 @@
 """SimHash near-duplicate groups with covering locality-sensitive hashing.
 
 Every pair of fingerprints within the radius agrees on the bits of some mask: each of the 64
-positions has a non-zero vector of radius + 1 bits, and mask v selects the positions whose vector
-has odd overlap with v. The vectors of at most ``radius`` differing positions leave a non-zero v
-orthogonal to all of them, whose mask selects none of those positions.
+positions is a point of a projective space of as many dimensions as the radius; any so many points
+lie in a hyperplane, and the mask of that hyperplane has the positions outside of it.
 
-Fingerprints that share a bucket with another go on to the exact check, which never lists the
-pairs of a bucket: two fingerprints differ in at most two bits if and only if some point differs
-from each in at most one, and a point has at most 65 such neighbours.
+``simhash_groups`` links whole-text fingerprints within two bits. Fingerprints that share a bucket
+with another go on to the exact check, which never lists the pairs of a bucket: two fingerprints
+differ in at most two bits if and only if some point differs from each in at most one, and a point
+has at most 65 such neighbours. More fingerprints take masks over a larger field, which keep more
+bits, so that few share a bucket by chance.
+
+``near_groups`` links texts by the similarity of their five-word shingles. Of a text with a tenth
+of its words changed the fingerprint differs in some ten bits, for which no masks are selective.
+So the shingles are dealt by hash into classes of three to six, each class has a SimHash, and
+covering masks are laid over these: of sixteen classes that two similar texts have in common, some
+is the same in both. What shares a bucket is compared by the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tessera.llm.common import in_small_batches, written
+from tessera.llm.common import Scratch, in_small_batches, small, written
 from tessera.llm.components import connected_components
 
 BITS = 64
 RADIUS = 2
 HASH_SEED = 42
+#: Fields for the masks, smallest first, and how many buckets there are for each fingerprint.
+FIELDS = (2, 3, 5, 7)
+SPARE_BITS = 4
+
+#: Near copies: words of a shingle, least similarity, shingles of a class at most, classes of a
+#: text that are looked at, and differing bits of a class's fingerprint.
+WIDTH = 5
+SIMILARITY = 0.8
+CLASS_SIZE = 6
+CLASSES = 16
+CLASS_RADIUS = 1
+
 
+def covering_masks(radius: int = RADIUS, seed: int = 7, field: int = 2) -> list[int]:
+    """The masks as unsigned 64-bit numbers, (field^(radius+1) - 1) / (field - 1) of them; ``field``
+    is a prime."""
+    vectors = [v for v in product(range(field), repeat=radius + 1) if next((x for x in v if x), 0) == 1]
+    points = [vectors[i % len(vectors)] for i in range(BITS)]
+    random.Random(seed).shuffle(points)
+    return [sum(1 << i for i, x in enumerate(points) if sum(a * b for a, b in zip(plane, x, strict=True)) % field) for plane in vectors]
 
-def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
-    """The 2^(radius+1) - 1 masks as unsigned 64-bit numbers."""
-    most = 2 ** (radius + 1) - 1
-    vectors = [i % most + 1 for i in range(BITS)]
-    random.Random(seed).shuffle(vectors)
-    return [sum(((v & x).bit_count() & 1) << i for i, x in enumerate(vectors)) for v in range(1, most + 1)]
+
+def masks_for(fingerprints: int, radius: int = RADIUS) -> list[int]:
+    """Masks that keep enough bits for so many fingerprints, over as small a field as that takes."""
+    need = math.log2(max(1, fingerprints)) + SPARE_BITS
+    every = [covering_masks(radius, field=q) for q in FIELDS]
+    return next((m for m in every if min(x.bit_count() for x in m) >= need), every[-1])
 
 
 def _signed(x: int) -> int:
@@ -75,7 +102,7 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
 
     ``distinct``: a written table with one row for each fingerprint ``fp``.
     """
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks()])
+    masks = F.array(*[F.lit(_signed(m)) for m in masks_for(distinct.count())])
     keys = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "bucket"))
     crowded = written(keys.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("mask", "bucket"))
     candidates = written(keys.join(crowded, ["mask", "bucket"], "left_semi").select("fp").distinct())
@@ -111,13 +138,178 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one_per_group(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the component_id of their group; all columns stay.
+# --- near copies by shingles
+
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+MEMO_ENTRIES = 300_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxh64_intdigest(word)
+        return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD[0]
+    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
+    return x ^ (x >> np.uint64(32))
+
+
+_word_hashes = _WordHashes()
+
+
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The hashes of each text's different shingles, ascending in each text, with the text's number;
+    and what identifies its words. Texts of fewer words have one shingle, those without none."""
+    if len(_word_hashes) > MEMO_ENTRIES:
+        _word_hashes.clear()
+    words = [(x or b"").lower().split() for x in texts]
+    names = [xxh3_128_digest(b" ".join(x)) for x in words]
+    sizes = np.array([len(x) for x in words], np.int64)
+    flat = np.fromiter((h for x in words for h in map(_word_hashes.__getitem__, x)), np.uint64, int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    left = ends[text] - np.arange(len(flat))  # words from here to the text's end
+    taken = np.minimum(width, sizes[text])
+    at = np.flatnonzero(left >= taken)
+    at = at[(sizes[text[at]] >= width) | (left[at] == sizes[text[at]])]
+    hashes = np.zeros(len(at), np.uint64)
+    for i in range(width):
+        some = i < taken[at]
+        hashes = np.where(some, (hashes ^ flat[np.minimum(at + i, max(0, len(flat) - 1))]) * _ODD[2] + _ODD[3], hashes) if len(at) else hashes
+    hashes, text = _mixed(hashes), text[at]
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))[: len(hashes)]
+    return hashes[new], text[new], names
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Into how many classes, as a power of two, n shingles are dealt: ``CLASS_SIZE`` or fewer in
+    each, and up to eight classes where there are few."""
+    n = np.maximum(n, 1)
+    return np.maximum(np.ceil(np.log2(n / CLASS_SIZE)), np.minimum(3, np.floor(np.log2(n)))).astype(np.int64)
+
+
+def class_keys(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, text) of the masked fingerprints of the texts' classes. A text has the classes for its
+    number of shingles and, if these are others, for the most that a similar text can have."""
+    masks = np.array(covering_masks(CLASS_RADIUS), np.uint64)
+    n = np.bincount(text, minlength=texts)
+    own, more = level_of(n), level_of(np.floor(n / SIMILARITY))
+    keys, owners = [], []
+    for level, applies in ((own, n > 0), (more, (n > 0) & (more != own))):
+        some = applies[text]
+        h, of = hashes[some], text[some]
+        cls = ((h * _ODD[3]) >> np.uint64(1)) >> (63 - level[of]).astype(np.uint64)
+        few = cls < CLASSES
+        h, of, cls = h[few], of[few], cls[few].astype(np.int64)
+        if not len(h):
+            continue
+        group = of * CLASSES + cls
+        order = np.argsort(group, kind="stable")
+        h, group = h[order], group[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.append(starts, len(group)))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        fp = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        owner = group[starts] // CLASSES
+        place = (level[owner] * CLASSES + group[starts] % CLASSES).astype(np.uint64)
+        for i, mask in enumerate(masks):
+            keys.append(_mixed((fp & mask) * _ODD[0] + place * _ODD[1] + np.uint64(i + 1)))
+            owners.append(owner)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _signatures(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, words binary, keys array<long>) of each row; equal words have equal
+    ``words``."""
 
-    Rows without a doc_id stay (nothing says which of them to prefer). Rows that repeat a kept
-    doc_id and its text are reduced to one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, text, names = shingle_sets(batch.column(2).to_pylist())
+            keys, owner = class_keys(hashes, text, batch.num_rows)
+            order = np.argsort(owner, kind="stable")
+            offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), lists], ["doc_id", "text_hash", "words", "keys"])
+
+    return _texts(documents).mapInArrow(run, "doc_id long, text_hash long, words binary, keys array<long>")
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """(a, b) of ``pairs`` (a, b, text_a, text_b) whose shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            hashes, text, _ = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist())
+            sizes = np.bincount(text, minlength=2 * n)
+            pair = text % max(n, 1)
+            order = np.lexsort((hashes, pair))
+            same = (hashes[order][1:] == hashes[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+            common = np.bincount(pair[order][1:][same], minlength=n)
+            similar = common >= SIMILARITY * (sizes[:n] + sizes[n:] - common) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(similar))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _compared(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once: the members of each bucket with its first and with its last one."""
+    ends = written(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most"))
+    met = keys.join(ends, "key")
+    pairs = met.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("most").alias("b")))).alias("p"))
+    return pairs.select("p.*").where("a != b").distinct()
+
+
+def near_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, kept_id, kept_hash) for each different row of ``documents``
+    (doc_id, text): the id and text hash of the row that stands for its group, the least of them,
+    null ids last.
+
+    Texts of the same words, case aside, are one class; classes of which ``SIMILARITY`` of the
+    five-word shingles are common are linked, and a group is what links lead to. All texts without
+    words are one class. Null texts count as empty. Only counts reach the driver.
+    """
+    with Scratch() as scratch:
+        rows = scratch.written(_signatures(documents))
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+        classes = rows.groupBy("words").agg(F.min(place).alias("place"), F.first("keys").alias("keys"))
+        classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()))
+        pairs = scratch.written(_compared(classes.select("node", F.explode("keys").alias("key"))))
+        wanted = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        bodies = scratch.written(_texts(documents).join(small(wanted), same).select("node", "text").dropDuplicates(["node"]))
+        left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        links = scratch.written(_similar(left.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")))
+        roots = scratch.written(connected_components(links))
+        members = roots.join(classes.select("node", "place"), "node")
+        least = members.groupBy("root").agg(F.min("place").alias("kept"))
+        linked = roots.join(least, "root").select("node", "kept")
+        kept = scratch.written(classes.join(linked, "node", "left").select("words", F.coalesce("kept", "place").alias("kept")))
+        each = rows.select("doc_id", "text_hash", "words").distinct().join(kept, "words")
+        return written(each.select("doc_id", "text_hash", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash")))
+
+
+def keep_one_per_group(documents: DataFrame) -> DataFrame:
+    """One row of each of the ``near_groups`` of ``documents``: that of the least doc_id, then text
+    hash, null ids last; all columns stay. Of rows that repeat it one is kept.
     """
-    groups = simhash_groups(documents)
-    kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct())
-    same = documents.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return same.dropDuplicates(["doc_id", "text"]).unionByName(documents.where("doc_id is null"))
+    groups = near_groups(documents)
+    kept = written(groups.where("doc_id <=> kept_id and text_hash = kept_hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    counts = documents.groupBy(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.count("*").alias("_n"))
+    several = written(counts.where("_n > 1").select("_id", "_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    of_kept = documents.join(small(kept), same, "left_semi")
+    if several.isEmpty():
+        return of_kept
+    once = of_kept.join(small(several), same, "left_anti")
+    return once.unionByName(of_kept.join(small(several), same, "left_semi").dropDuplicates(["doc_id", "text"]))
