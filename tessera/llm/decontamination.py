@@ -1,7 +1,9 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming blocks,
 exact weighted-shingle similarity. DataFrame operations alone.
 
-An item's window in a document has as many words as the item (the whole document, where that has
+First the documents' shingles are met with the items' anchors (below), in one scan for all widths
+of shingles; only the stretches around such places are read again. An item's window in a document
+has as many words as the item (the whole document, where that has
 fewer). Windows whose five-word shingles have nothing in common with an item cannot reach the
 similarity, and more holds: of an item's m shingles any m - ceil(0.8 m) + 1 must meet the window.
 Only windows over such an anchor get a fingerprint; this loses no match. A fingerprint is cut into
@@ -13,20 +15,19 @@ counts over the sum of the greater ones.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, written
+from tessera.llm.common import Scratch, small, written
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 8
-#: Items that are searched for at once; more are searched for in several passes.
-ITEMS_AT_ONCE = 4_000
+#: Words of a stretch, whose windows are made one row each.
+STRETCH = 256
 
 
 def words_of(text: str) -> Column:
@@ -45,13 +46,37 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """The 64-bit SimHash of an array of hashes; repeats count."""
-    ones = lambda bit: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.expr("1L").bitwiseAND(_shift_right(h, bit)).cast("int"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, bit: acc.bitwiseOR(F.when(ones(bit) * 2 > F.size(hashes), _call("shiftleft", F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long"))),
-    )
+    """The 64-bit SimHash of an array of hashes; repeats count.
+
+    Bits are counted several at a time, in lanes of a long as wide as the array is short.
+    """
+    n = F.size(hashes)
+    return F.when(n < 1 << 7, _majority(hashes, 8)).when(n < 1 << 15, _majority(hashes, 16)).otherwise(_majority(hashes, 64))
+
+
+def _majority(hashes: Column, width: int) -> Column:
+    """Bits that over half of the hashes have; counts fit into lanes of ``width`` - 1 bits."""
+    lanes = [i * width for i in range(64 // width)]
+    ones, top = sum(1 << x for x in lanes), lanes[-1]
+    half = F.floor(F.size(hashes) / 2).cast("long")
+    out = F.lit(0).cast("long")
+    for j in range(width):
+        sums = F.aggregate(hashes, F.lit(0).cast("long"), _adding(j, ones))
+        # the greatest lane alone could reach the sign; in the others a carry to the highest bit tells
+        out = out.bitwiseOR(F.when(_shift_right(sums, F.lit(top)) > half, F.lit(_signed(1 << (top + j)))).otherwise(F.lit(0).cast("long")))
+        if top:
+            low = sums.bitwiseAND(F.lit((1 << top) - 1)) + (F.lit((1 << width - 1) - 1) - half) * F.lit(ones & (1 << top) - 1)
+            carries = _shift_right(low, F.lit(width - 1)).bitwiseAND(F.lit(ones & (1 << top) - 1))
+            out = out.bitwiseOR(_call("shiftleft", carries, F.lit(j)))
+    return out
+
+
+def _adding(shift: int, ones: int):
+    return lambda acc, h: acc + _shift_right(h, F.lit(shift)).bitwiseAND(F.lit(ones))
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
 def _call(name: str, *args: Column) -> Column:
@@ -97,28 +122,36 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _windows(documents: DataFrame, k: int, sizes: dict[int, list[int]]) -> DataFrame:
-    """(doc_id, text_hash, n, start, words, hashes) for windows of n words over an anchor of that n."""
-    every = ", ".join(f"{h}L" if h != -(2**63) else f"-{2**63 - 1}L - 1L" for h in sizes)
-    of_anchor = f"map({', '.join(f'{h}L, array({", ".join(map(str, n))})' for h, n in sizes.items())})"
-    hashed = _once(documents, "hashes", _shingle_hashes(F.col("words"), k))
-    anchored = _once(hashed, "at", F.expr(f"filter(sequence(0, size(hashes)), i -> get(hashes, i) in ({every}))")).where(F.size("at") > 0)
-    starts = F.expr(
-        f"""array_distinct(flatten(transform(at, i -> flatten(transform(element_at({of_anchor}, get(hashes, i)), n ->
-            transform(sequence(greatest(0, i + {k} - n), least(i, greatest(0, size(words) - n))), s -> n * 4294967296L + s))))))"""
-    )
-    found = anchored.withColumn("windows", starts).select(
-        "doc_id",
-        "text_hash",
-        F.explode(
-            F.expr(
-                f"""transform(windows, w -> named_struct('n', cast(shiftright(w, 32) as int), 'start', cast(w & 4294967295L as int),
-                    'words', slice(words, cast(w & 4294967295L as int) + 1, cast(shiftright(w, 32) as int)),
-                    'hashes', slice(hashes, cast(w & 4294967295L as int) + 1, cast(shiftright(w, 32) as int) - {k - 1})))"""
-            )
-        ).alias("w"),
-    )
-    return found.select("doc_id", "text_hash", "w.*")
+def _hits(texts: DataFrame, widths: list[int], anchors: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_words, k, n, at): where an anchor for windows of n words stands."""
+    rows = _once(texts, "words", words_of("text")).drop("text")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), _shingle_hashes(F.col("words"), k).alias("hashes")) for k in widths])
+    rows = rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.inline(each))
+    rows = rows.select("doc_id", "text_hash", "n_words", "k", F.posexplode("hashes").alias("at", "hash"))
+    of = small(anchors.withColumnRenamed("k", "of_k"))
+    return rows.join(of, F.col("hash") == F.col("anchor")).where("k = of_k").select("doc_id", "text_hash", "n_words", "k", "n", "at")
+
+
+def _stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, k, first, words, windows array<struct<n, start>>): the windows over the
+    hits of some words of a text, with the words from number ``first`` on that they need."""
+    start = F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("k") - F.col("n")), F.least("at", F.greatest(F.lit(0), F.col("n_words") - F.col("n"))))
+    starts = hits.select("doc_id", "text_hash", "k", "n", F.explode(start).alias("start"))
+    windows = starts.groupBy("doc_id", "text_hash", "k", F.floor(F.col("start") / STRETCH).alias("stretch")).agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    windows = windows.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    found = _once(texts.join(small(written(windows)), same), "words", words_of("text"))
+    longest = F.array_max(F.transform("windows", lambda w: w["n"]))
+    first = (F.col("stretch") * STRETCH).cast("int")
+    return found.select("doc_id", "text_hash", "k", first.alias("first"), F.slice("words", first + 1, STRETCH + longest).alias("words"), "windows").distinct()
+
+
+def _windows(stretches: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_hash, n, start, words, hashes), a row for each window."""
+    each = stretches.where(F.col("k") == k).select("doc_id", "text_hash", "first", "words", F.inline("windows"))
+    own = F.slice("words", F.col("start") - F.col("first") + 1, F.col("n"))
+    each = _once(each.select("doc_id", "text_hash", "n", "start", own.alias("words")), "hashes", _shingle_hashes(F.col("words"), k))
+    return each.where(F.size("hashes") > 0)
 
 
 def _block(fp: Column, at: Column) -> Column:
@@ -157,25 +190,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts match nothing, nor do items without words. Items of fewer than five words
     are one shingle. Rows with a null id are told apart by the text's hash; rows equal in both are
-    one. Every text of an item_id is searched for, null included; the best of them counts. Empty tables give an empty result; other columns are ignored.
+    one. Every text of an item_id is searched for, null included; the best of them counts. Empty
+    tables give an empty result; other columns are ignored.
     """
-    items = _items(benchmark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = _once(texts, "words", words_of("text")).drop("text")
-    passes = max(1, math.ceil(items.count() / ITEMS_AT_ONCE))
-    found = []
-    for number in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(passes)) == number) if passes > 1 else items
-        anchors: dict[int, dict[int, set[int]]] = {}
-        for k, anchor, n in _anchors(part).collect():  # at most a fifth of the shingles of ITEMS_AT_ONCE items
-            anchors.setdefault(k, {}).setdefault(anchor, set()).add(n)
-        for k, sizes in sorted(anchors.items()):
-            windows = _windows(rows, k, {h: sorted(n) for h, n in sorted(sizes.items())})
-            found.append(_matches(windows, part.where(F.col("k") == k), k))
-    if not found:
+    items = _items(benchmark)
+    widths = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]  # at most WORDS
+    if not widths:
         return documents.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, n_words int, similarity double")
-    best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "item_id")
-    return best.agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("x")).select("doc_id", "text_hash", "item_id", "x.*")
+    with Scratch() as scratch:
+        anchors = scratch.written(_anchors(items))
+        stretches = scratch.written(_stretches(texts, scratch.written(_hits(texts, widths, anchors).distinct())))
+        found = [_matches(_windows(stretches, k), items.where(F.col("k") == k), k) for k in widths]
+        best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "item_id")
+        best = best.agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
+        return written(best.select("doc_id", "text_hash", "item_id", "x.*"))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

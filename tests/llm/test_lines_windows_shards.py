@@ -313,15 +313,29 @@ def test_decontamination_equals_brute_force(spark, rng):
     assert kept == {i for i, _ in rows} - {i for i, _ in expected}
 
 
-def test_decontamination_in_several_passes(spark, rng, monkeypatch):
+def test_simhash_counts_bits_of_arrays_of_any_size(spark, rng):
+    from tessera.llm.decontamination import simhash
+
+    arrays = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (1, 2, 3, 50, 127, 128, 129, 400)]
+    arrays += [[-1] * n for n in (1, 127, 128, 32767, 32768)] + [[-(2**63), 5, 5], [0] * 40000 + [-1] * 40001]
+    got = spark.createDataFrame(list(enumerate(arrays)), "i int, h array<bigint>").select("i", simhash(F.col("h")).alias("s")).collect()
+    for r in got:
+        of = arrays[r.i]
+        assert r.s % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in of) > len(of)), r.i
+
+
+def test_decontamination_of_long_texts_with_shuffled_joins(spark, rng, monkeypatch):
     import tessera.llm.decontamination as d
 
-    items = [(i, prose(rng, 20)) for i in range(6)]
-    documents = spark.createDataFrame([(i, prose(rng, 30) + " " + t) for i, t in items] + [(9, prose(rng, 80))], "doc_id long, text string")
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    once = Counter(map(tuple, contaminated(documents, benchmark).collect()))
-    monkeypatch.setattr(d, "ITEMS_AT_ONCE", 2)
-    assert Counter(map(tuple, contaminated(documents, benchmark).collect())) == once and len(once) == 6
+    items = [(i, prose(rng, n)) for i, n in enumerate([4, 20, 20, 300, 20])]
+    texts = [prose(rng, 700) + " " + items[i % 5][1] + " " + prose(rng, 40 * i) + " " + items[(i + 1) % 5][1] for i in range(6)]
+    rows = list(enumerate(texts)) + [(9, prose(rng, 800)), (10, items[3][1]), (11, " ".join(items[3][1].split()[:290]))]
+    documents, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter(map(tuple, contaminated(documents, benchmark).collect()))
+    assert {(r[0], r[2]): (r[3], round(r[5], 6)) for r in got} == plain_hits(spark, rows, items) and len(got) == 14
+    monkeypatch.setattr(d, "small", lambda df: df)
+    monkeypatch.setattr(d, "STRETCH", 7)
+    assert Counter(map(tuple, contaminated(documents, benchmark).collect())) == got
 
 
 def test_decontamination_of_awkward_rows(spark, awkward, empty):
