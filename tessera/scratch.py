@@ -41,10 +41,11 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def written_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, compression: str = "snappy", partition_by: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -61,8 +62,8 @@ class Scratch:
     def __init__(self) -> None:
         self._paths: list[tuple[SparkSession, str]] = []
 
-    def written(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
-        out, path = written_at(df, compression)
+    def written(self, df: DataFrame, compression: str = "snappy", partition_by: str | None = None) -> DataFrame:
+        out, path = written_at(df, compression, partition_by)
         self._paths.append((df.sparkSession, path))
         return out
 
