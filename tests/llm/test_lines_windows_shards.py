@@ -366,6 +366,18 @@ def test_shards(spark, rng, tmp_path):
     assert all(r.six in (r.five, 5) for r in homes) and {r.six for r in homes} == set(range(6))
 
 
+def test_shards_of_several_groups_of_buckets(spark, rng, tmp_path, monkeypatch):
+    import tessera.llm.sharding as sharding
+
+    documents = spark.createDataFrame([(i, prose(rng, 30)) for i in range(300)], "doc_id long, text string")
+    write_shards(documents, str(tmp_path / "a"), shards=5, bucket_bytes=2_000)
+    monkeypatch.setattr(sharding, "BUCKETS_AT_ONCE", 7)
+    write_shards(documents, str(tmp_path / "b"), shards=5, bucket_bytes=2_000)
+    one, two = (sorted(map(tuple, read_shards(spark, str(tmp_path / n)).collect())) for n in "ab")
+    assert one == two and len(one) == 300
+    assert 8_000_000 <= sharding.bucket_size(spark) <= 256_000_000
+
+
 def test_shards_of_awkward_rows(spark, tmp_path, awkward, empty):
     write_shards(awkward, str(tmp_path / "a"), shards=3, bucket_bytes=1000)
     got = Counter((r.doc_id, zlib.crc32((r.text or "-").encode())) for r in read_shards(spark, str(tmp_path / "a")).collect())
