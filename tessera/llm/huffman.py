@@ -1,8 +1,8 @@
 """Token ids in canonical length-limited Huffman code, in independent blocks.
 
-A block holds whole documents. Its bytes, little-endian: 4 letters ``HTB1``; uint32 documents,
+A block holds whole documents. Its bytes, little-endian: 4 letters ``HTB2``; uint32 documents,
 ids and checkpoint distance; for each document its id (int64) and count (uint32) and whether the
-id is null (uint8); a uint32 bit offset for each checkpoint; then the codes, highest bit first,
+id is null (uint8); a uint64 bit offset for each checkpoint; then the codes, highest bit first,
 each document from a new byte. The decoder walks all checkpoints of a block at once, one table
 look-up for each id.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 STRIDE = 128
-MAGIC = b"HTB1"
+MAGIC = b"HTB2"
 
 
 def most_bits(ids: int) -> int:
@@ -81,6 +81,8 @@ class Coder:
     def encode(self, documents: list[tuple[int | None, np.ndarray]]) -> bytes:
         """A block of (id or null, token ids) with at least one document; each has a token."""
         counts = np.array([len(x) for _, x in documents], np.int64)
+        if counts.max() >= 1 << 32:
+            raise ValueError("a document of 2**32 tokens or more")
         ids = np.concatenate([x for _, x in documents])
         size = self._sizes[ids]
         begin = np.cumsum(size) - size
@@ -96,7 +98,7 @@ class Coder:
         words[at[new]] = np.bitwise_or.reduceat(code >> skip.astype(np.uint64), new)
         over = np.flatnonzero(skip + size > 64)
         words[at[over] + 1] |= code[over] << (64 - skip[over]).astype(np.uint64)
-        marks = np.concatenate([begin[a:b:STRIDE] for a, b in zip(firsts, ends, strict=True)]).astype("<u4")
+        marks = np.concatenate([begin[a:b:STRIDE] for a, b in zip(firsts, ends, strict=True)]).astype("<u8")
         head = np.array([len(documents), len(ids), STRIDE], "<u4").tobytes()
         names = np.array([x or 0 for x, _ in documents], "<i8").tobytes()
         nulls = np.array([x is None for x, _ in documents], np.uint8).tobytes()
@@ -125,8 +127,8 @@ class Coder:
         nulls = np.frombuffer(block, np.uint8, documents, at + 12 * documents)
         lanes = (counts + stride - 1) // stride
         at += 13 * documents
-        position = np.frombuffer(block, "<u4", int(lanes.sum()), at).astype(np.int64)
-        data = np.frombuffer(block, np.uint8, offset=at + 4 * len(position))
+        position = np.frombuffer(block, "<u8", int(lanes.sum()), at).astype(np.int64)
+        data = np.frombuffer(block, np.uint8, offset=at + 8 * len(position))
         data = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
         window = (data[:-4] << 24) | (data[1:-3] << 16) | (data[2:-2] << 8) | data[3:-1]
         firsts = np.cumsum(counts) - counts

@@ -13,45 +13,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_small_batches, new_path, remove, small
+from tessera.llm.common import in_small_batches, new_path, numbered_copies, remove, small
 from tessera.llm.huffman import Coder, code_lengths
 
 BLOCK_IDS = 1 << 18
+#: Bytes of the texts of a part, which is one task's, and parts at most.
+PART_BYTES = 24_000_000
+MOST_PARTS = 100_000
 TOKENIZED_NAMES = ["part", "start", "doc_id", "n", "ids", "counts"]
 
 
-def _range_bounds(documents: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 ascending ids that cut the doc_ids into ranges of about as many rows."""
-    shares = [i / parts for i in range(1, parts)]
-    if not shares:
-        return []
-    found = documents.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0]
-    return sorted(set(found or []))
-
-
-def _part_of(bounds: list[int]) -> Column:
-    """How many of the ascending bounds are less than the doc_id: first in steps, then in one step."""
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    numbers = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
-    less = lambda x: F.size(F.filter(x, lambda b: b < F.col("doc_id")))
-    start = less(numbers(bounds[step - 1 :: step])) * step
-    return F.when(F.col("doc_id").isNotNull(), start + less(F.slice(numbers(bounds), start + 1, F.lit(step))))
-
-
 def tokenized(documents: DataFrame, tokenizer: str, end_id: int, drops_space: bool) -> DataFrame:
-    """(part int, start long, doc_id long, n long, ids binary, counts binary): each part in doc_id
-    order, then text; start: ids of the part before the row. Each task adds a row of part -1 with
-    how often it met each id, as int64."""
-    spark = documents.sparkSession
-    rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = F.coalesce(_part_of(_range_bounds(rows, parts)), F.lit(0))
-    ranged = rows.select(part.cast("int").alias("part"), "doc_id", "text").repartitionById(parts, "part").sortWithinPartitions("doc_id", "text")
+    """(part int, start long, doc_id long, n long, ids binary, counts binary): each part in the
+    order of doc_id, then text hash; start: ids of the part before the row. Each task adds a row of
+    part -1 with how often it met each id, as int64.
+
+    Parts are ranges of (doc_id, text hash, number of the copy), so that an id or a text that very
+    many rows share is in several of them.
+    """
+    rows = numbered_copies(in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_PARTS, max(1, math.ceil(size / PART_BYTES)))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.col("copy")]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.llm.tokens import encoder
@@ -127,7 +114,7 @@ def write_store(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2
     """Writes the tokens of ``documents`` (doc_id, text), each with ``end_id`` at its end.
 
     A null text counts as empty; rows with a null doc_id come first; rows that share a doc_id
-    are ordered by text and all stay; an empty table gives an empty store; other columns are
+    are ordered by text hash and all stay; an empty table gives an empty store; other columns are
     ignored. ``drops_space``: see ``MemoEncoder``. The driver gets one count for each id of the
     vocabulary, never one for each document.
     """
@@ -145,7 +132,7 @@ def write_store(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2
     code = [(int(i), int(coder.lengths[i])) for i in np.flatnonzero(coder.lengths)]
     spark.createDataFrame(code, "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     sizes = rows.groupBy("part").agg(F.sum("n").alias("n"))
-    # one row for each part; there are no more parts than shuffle partitions
+    # one row for each part: MOST_PARTS at most
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
     sizes.select("part", before.alias("ids_before")).write.parquet(f"{path}/parts")
     remove(spark, scratch)
