@@ -53,6 +53,16 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("example_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over conversations, where the three limits differ."""
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_conversations
+
+    pieces = pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("example_id").alias("conv_id"), F.col("part").alias("first_turn"), "start", "length", "loss", "example_tokens", "sequence_id", "offset")
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import SHARDS, read_shards, row_size, shard_of, write_shards
 
@@ -93,7 +103,7 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"instruction_packing": instruction_packing}
 
 
 def oracle_sql() -> dict[str, str]:

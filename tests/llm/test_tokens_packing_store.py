@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from texts import prose
 
 from tessera.llm.huffman import Coder, code_lengths
-from tessera.llm.packing import Limits, pack_documents, place
+from tessera.llm.packing import Limits, pack_conversations, pack_documents, place
 from tessera.llm.token_store import read_store, write_store
 from tessera.llm.tokens import MemoEncoder
 from tessera.llm.wordpiece import Automaton, byte_pieces, token_counts
@@ -40,20 +41,89 @@ def test_memo_equals_library(path, drops_space):
 @given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 900)), max_size=25), st.integers(1, 5), st.integers(20, 300))
 def test_bins_keep_every_limit(examples, segments, loss):
     limits = Limits(tokens=256, segments=segments, loss=loss)
-    pieces = place([n for n, _ in examples], [p for _, p in examples], limits)
+    marks = [None if p == 0 else np.arange(n) % 1000 >= p for n, p in examples]
+    pieces = place([n for n, _ in examples], marks, limits)
     bins = {}
     covered = {}
     for i, start, n, b, offset in pieces:
         assert n > 0
         used = bins.setdefault(b, [0, 0, 0])
         assert offset == used[0]  # gapless
-        bins[b] = [used[0] + n, used[1] + 1, used[2] + max(0, start + n - max(start, examples[i][1]))]
+        bins[b] = [used[0] + n, used[1] + 1, used[2] + (n if marks[i] is None else int(marks[i][start : start + n].sum()))]
         assert covered.get(i, 0) == start
         covered[i] = start + n
     assert covered == {i: n for i, (n, _) in enumerate(examples) if n}
     assert all(t <= 256 and s <= segments and x <= loss for t, s, x in bins.values())
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 60)), min_size=1, max_size=7), st.integers(10, 40))
+def test_few_examples_need_hardly_more_bins_than_they_must(examples, loss):
+    """Against the least that any packing can have by tokens, by loss and by segments."""
+    limits = Limits(tokens=64, segments=4, loss=loss)
+    marks = [np.arange(n) >= p for n, p in examples]
+    bins = 1 + max(b for *_, b, _ in place([n for n, _ in examples], marks, limits))
+    total, bearing = sum(n for n, _ in examples), sum(int(x.sum()) for x in marks)
+    least = max(-(-total // 64), -(-bearing // loss), -(-len(examples) // 4))
+    assert bins <= 2 * least + 1
+
+
+def test_the_vector_decides_where_limits_differ():
+    # answers alone would fill the loss limit of a bin, prompts alone its tokens: both are mixed
+    tokens, marks = [32] * 40, [np.ones(32, bool)] * 20 + [np.zeros(32, bool)] * 20
+    pieces = place(tokens, marks, Limits(tokens=64, segments=8, loss=32))
+    assert 1 + max(b for *_, b, _ in pieces) == 20
+
+
+def test_conversations_are_packed_with_their_loss(spark, rng):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", prose(rng, rng.choice([2, 30, 200]))) for c in range(25) for t in range(rng.randint(1, 6))]
+    rows += [(50, t, "assistant", "word") for t in range(130)] + [(60, 0, "user", "one"), (60, 0, "assistant", "two"), (None, 3, "user", None), (61, None, None, "x"), (61, None, None, "x")]
+    table = spark.createDataFrame(rows + rows[:3], "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash"))
+    got = pack_conversations(table, BYTES).collect()
+    examples, bins = {}, {}
+    for r in got:
+        examples.setdefault((r.example_id, r.part), []).append(r)
+        bins.setdefault(r.sequence_id, []).append(r)
+    for of in bins.values():
+        assert sum(r.length for r in of) <= 1024 and sum(r.loss for r in of) <= 512 and len(of) <= 16
+        assert [r.offset for r in sorted(of, key=lambda r: r.offset)] == np.cumsum([0, *(r.length for r in sorted(of, key=lambda r: r.offset)[:-1])]).tolist()
+    for c in range(25):
+        pieces = sorted(examples[c, 0], key=lambda r: r.start)
+        turns = [(role, [*library_ids(BYTES, text), 0]) for i, _, role, text in rows if i == c]
+        assert np.concatenate([np.frombuffer(r.ids, "<u4") for r in pieces]).tolist() == [x for _, ids in turns for x in ids]
+        assert sum(r.loss for r in pieces) == sum(len(ids) for role, ids in turns if role == "assistant")
+    assert {p for c, p in examples if c == 50} == {0, 64, 128}
+    assert sum(r.start == 0 for r in got if r.example_id == 60) == 2 and sum(r.start == 0 for r in got if r.example_id == 61) == 1
+    assert pack_conversations(table.limit(0), BYTES).count() == 0
+
+
+def test_very_many_equal_rows_are_dealt_out(spark, rng, monkeypatch, tmp_path):
+    import tessera.llm.common as common
+    import tessera.llm.packing as packing
+    import tessera.llm.token_store as token_store
+    from tessera.llm.sharding import read_shards, write_shards
+
+    rows = [(None, None)] * 700 + [(7, "the same words")] * 500 + [(i, prose(rng, 20)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common.numbered_copies, "__defaults__", (50,))
+    numbered = common.numbered_copies(table)
+    assert numbered.count() == len(rows)
+    assert sorted(r.copy for r in numbered.where("doc_id = 7").collect() if r.text == "the same words") == list(range(500))
+    monkeypatch.setattr(packing, "BLOCK_EXAMPLES", 100)
+    got = pack_documents(table, BYTES).collect()
+    assert sum(r.start == 0 for r in got) == len(rows)
+    assert max(np.bincount([r.sequence_id >> 32 for r in got if r.example_id is None and r.start == 0])) < 150
+    write_shards(table, str(tmp_path / "s"), shards=4, bucket_bytes=3_000)
+    assert sorted(((r.doc_id, r.text) for r in read_shards(spark, str(tmp_path / "s")).collect()), key=str) == sorted(rows, key=str)
+    monkeypatch.setattr(token_store, "PART_BYTES", 2_000)
+    write_store(table, WORDS, str(tmp_path / "t"), 2, True)
+    back = sorted(read_store(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back[:-1])]).tolist() and len(back) == len(rows)
+    assert [r.doc_id for r in back] == [None] * 700 + sorted(i for i, _ in rows if i is not None)
+    parts = spark.read.parquet(str(tmp_path / "t/blocks")).select("part").distinct().count()
+    assert parts > 3
+
+
 def test_documents_are_packed_whole(spark, rng, awkward, empty):
     rows = [(i, prose(rng, rng.choice([1, 20, 300, 2500]))) for i in range(80)]
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect()
@@ -108,7 +178,7 @@ def test_store_round_trip(spark, rng, tmp_path, awkward, empty):
     documents = spark.createDataFrame(rows, "doc_id long, text string").union(awkward.select("doc_id", "text"))
     write_store(documents, WORDS, str(tmp_path / "a"), 2, True)
     got = read_store(spark, str(tmp_path / "a")).collect()
-    expected = sorted(((r.doc_id, r.text) for r in documents.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    expected = [tuple(r) for r in documents.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
     start = 0
     for r, (doc_id, text) in zip(sorted(got, key=lambda r: r.start), expected, strict=True):
         ids = [*library_ids(WORDS, text), 2]
