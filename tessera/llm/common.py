@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.scratch import Scratch, new_path, remove, small, written, written_at
 
-__all__ = ["Scratch", "in_small_batches", "new_path", "numbered_copies", "remove", "sampled", "small", "table", "written", "written_at"]
+__all__ = ["Scratch", "in_parts", "in_small_batches", "new_path", "numbered_copies", "remove", "sampled", "small", "table", "written", "written_at"]
 
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1_000
@@ -26,6 +29,12 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_limit(rows: int, total: int) -> int:
     """The greatest of the signed 64-bit hashes that are chosen, so that of ``total`` ids about
     ``rows`` are, whatever the total; all of them where there are no more."""

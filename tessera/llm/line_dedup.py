@@ -189,7 +189,7 @@ class Lines:
         return np.where(self.text[other] == self.text[line], other, line)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first line, last line, hash) of the chunks of all texts."""
+        """(first line, last line, hash) of the chunks of all texts, by place."""
         n = len(self.text)
         meets = np.flatnonzero(self.text[1:] == self.text[:-1])
         kind = _mixed(self.hash[meets] * _ODD[2] + self.hash[meets + 1] * _ODD[3]) >> np.uint64(63)
@@ -202,7 +202,8 @@ class Lines:
             end.append(np.sort(np.concatenate([boundary + 1, last])))
         first, end = np.concatenate(first), np.concatenate(end)
         some = end - first >= LEAST_LINES - 1
-        first, end = first[some], end[some]
+        # a whole text can be a chunk of both kinds
+        first, end = np.divmod(np.unique(first[some] * (n + 1) + end[some]), n + 1)
         powers = np.cumprod(np.full(n + 1, _ODD[0]))
         back = np.cumprod(np.full(n + 1, np.uint64(pow(int(_ODD[0]), -1, 2**64))))
         sums = np.append(np.uint64(0), np.cumsum(_mixed(self.hash) * powers[:n], dtype=np.uint64))
@@ -242,9 +243,7 @@ class Chunks:
         if doubtful.any():
             before = np.append(0, np.cumsum(doubtful))
             usable = before[np.minimum(end + 2, len(lines.hash))] == before[np.maximum(first - 1, 0)]
-        order = np.flatnonzero(usable)
-        order = order[np.argsort(first[order], kind="stable")]
-        first, end, hashes = first[order], end[order], hashes[order]
+        first, end, hashes = first[usable], end[usable], hashes[usable]
         in_text = hashes ^ lines.text[first].astype(np.uint64) * _ODD[3]
         by_hash = np.argsort(in_text, kind="stable")
         same = np.append(False, in_text[by_hash][1:] == in_text[by_hash][:-1])[: len(first)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tessera.llm.common import Scratch, in_small_batches, small, written
+from tessera.llm.common import Scratch, in_parts, in_small_batches, small, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -141,7 +141,9 @@ def hex_fingerprint(fp: str = "fp"):
 # --- near copies by shingles
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
+#: Texts that are cut into shingles at once.
+PART_ROWS = 200
 
 
 class _WordHashes(dict):
@@ -229,7 +231,7 @@ def _signatures(documents: DataFrame) -> DataFrame:
     ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, PART_ROWS):
             hashes, text, names = shingle_sets(batch.column(2).to_pylist())
             keys, owner = class_keys(hashes, text, batch.num_rows)
             order = np.argsort(owner, kind="stable")
@@ -248,7 +250,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
     """(a, b) of ``pairs`` (a, b, text_a, text_b) whose shingles are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, PART_ROWS):
             n = batch.num_rows
             hashes, text, _ = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist())
             sizes = np.bincount(text, minlength=2 * n)
