@@ -23,7 +23,6 @@ the text is; only the first place of a chunk in each text goes on to be compared
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,15 +34,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm.common import Scratch, in_small_batches, small, written
+from tessera.llm.hash_filter import filter_of, passes
 
 LEAST_LINES = 3
 #: Lines of more words are cut inside, where a place's hash is less than those of as many places
 #: on each side. Where writing has no spaces, so many bytes count as a word.
 WRAP_WORDS, WRAP_REACH = 16, 5
 BYTES_A_WORD = 9
-#: Bits of the filter of repeated hashes for each of them, and at most; beyond, the join alone selects.
-FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 28
-BUCKET_BITS = 1 << 15
 #: Bytes of texts that are cut at once.
 SLICE_BYTES = 1 << 21
 
@@ -294,29 +291,6 @@ def _chunk_hashes(rows: DataFrame, line_hash: Callable[[bytes], int]) -> DataFra
     return rows.mapInArrow(run, "chunk_hash long")
 
 
-def _filter(repeated: DataFrame) -> bytes | None:
-    """Bits for the hashes of the rows (chunk_hash): those that are set are among them, perhaps. None
-    if there are too many for a filter of the greatest size."""
-    bits = max(BUCKET_BITS, 1 << math.ceil(math.log2(max(1, FILTER_BITS_EACH * repeated.count()))))
-    if bits > FILTER_BITS:
-        return None
-    buckets = bits // BUCKET_BITS
-    bucket = F.pmod("chunk_hash", F.lit(buckets))
-    place = F.shiftrightunsigned("chunk_hash", 40).bitwiseAND(F.lit(BUCKET_BITS - 1))
-    out = np.zeros((buckets, BUCKET_BITS // 8), np.uint8)
-    for number, raw in repeated.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place)).collect():
-        out[number] = np.frombuffer(raw, np.uint8)
-    return out.tobytes()
-
-
-def _passes(bits: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.ones(len(hashes), bool)
-    bucket = hashes & np.uint64(len(bits) * 8 // BUCKET_BITS - 1)
-    place = (hashes >> np.uint64(40)) & np.uint64(BUCKET_BITS - 1)
-    return (bits[bucket * np.uint64(BUCKET_BITS // 8) + (place >> np.uint64(3))] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 #: Rows of three kinds. Places: a chunk's first place in a text, the hashes of the lines before and
 #: after it (0 at the text's ends), and where the former starts and the latter stops. Repeats: from
 #: where to where a text repeats itself. Evidence: for a chunk's hash its lines' hashes, and for
@@ -350,7 +324,7 @@ def _found(rows: DataFrame, bits: bytes | None, line_hash: Callable[[bytes], int
                 text, start, stop = found.repeats()
                 yield _rows(REPEAT, len(text), **placed(text, start=start, stop=stop))
 
-                some = (found.origin == np.arange(len(found.hash))) & _passes(filled, found.hash)
+                some = (found.origin == np.arange(len(found.hash))) & passes(filled, found.hash)
                 first, end, hashes = found.first[some], found.end[some], found.hash[some]
                 previous, following = lines.beside(first, -1), lines.beside(end, 1)
                 sides = {"start": lines.start[first], "stop": lines.stop[end], "from": lines.start[previous], "to": lines.stop[following]}
@@ -395,7 +369,7 @@ def repeated_chunks(documents: DataFrame, line_hash: Callable[[bytes], int] = xx
     with Scratch() as scratch:
         counts = _chunk_hashes(rows, line_hash).groupBy("chunk_hash").agg(F.count("*").alias("n"))
         repeated = scratch.written(counts.where("n > 1").select("chunk_hash"))
-        bits = _filter(repeated)
+        bits = filter_of(repeated, "chunk_hash")
         found = _found(rows, bits, line_hash)
         if bits is None:  # no filter holds that many; a join does its work
             found = found.join(repeated.withColumn("kind", F.lit(PLACE)).withColumnRenamed("chunk_hash", "hash"), ["kind", "hash"], "left_semi").unionByName(found.where(F.col("kind") != PLACE))

@@ -248,7 +248,7 @@ def test_texts_that_nothing_repeats_stay_as_they_are(spark, rng):
 
 
 def test_filters_of_any_size_select_alike(spark, rng, monkeypatch):
-    import tessera.llm.line_dedup as module
+    import tessera.llm.hash_filter as module
 
     rows = spark.createDataFrame(corpus_with_passages(rng), "doc_id long, text string")
     once = Counter(map(tuple, without_repeated_lines(rows).collect()))
