@@ -14,7 +14,11 @@ bits, so that few share a bucket by chance.
 of its words changed the fingerprint differs in some ten bits, for which no masks are selective.
 So the shingles are dealt by hash into classes of three to six, each class has a SimHash, and
 covering masks are laid over these: of sixteen classes that two similar texts have in common, some
-is the same in both. What shares a bucket is compared by the shingles themselves.
+is the same in both. What shares a bucket is compared by the shingles themselves, with the bucket's
+first and last text. A second round leaves no pair out: of n shingles a text shows the n - ceil(0.8 n)
++ 1 that are first in one order for all texts, rare ones before frequent ones, and two texts that are
+similar enough have one of these in common. All pairs that share one and that no links join yet
+are compared.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tessera.llm.common import Scratch, in_parts, in_small_batches, small, written
+from tessera.llm.common import Scratch, in_parts, in_small_batches, sampled, small, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -47,6 +51,14 @@ SIMILARITY = 0.8
 CLASS_SIZE = 6
 CLASSES = 16
 CLASS_RADIUS = 1
+#: Texts whose shingles are counted, to tell frequent ones: the order decides on the work alone.
+ORDER_ROWS = 10_000
+#: While the pairs to compare are more than so many for each row that has a shared shingle, rows are
+#: first compared with so many of those that share it.
+FEW_PAIRS = 10
+PIVOTS = (2, 12)
+#: 64-bit words of the parities by which pairs are rejected before their texts are read.
+PARITY_WORDS = 8
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 7, field: int = 2) -> list[int]:
@@ -226,20 +238,67 @@ def class_keys(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def first_shingles(hashes: np.ndarray, text: np.ndarray, texts: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the shingles of which similar texts have one in common: in the order of the
+    counts in ``frequent`` (hashes ascending, counts; 0 for others), then of the hash, a text's first
+    n - ceil(SIMILARITY n) + 1."""
+    known, counts = frequent
+    count = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, count, text))
+    n = np.bincount(text, minlength=texts)
+    shown = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+    some = order[place < np.repeat(shown, n)]
+    return hashes[some], text[some]
+
+
+def parities(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """For each text ``PARITY_WORDS`` numbers: whether an odd number of its shingles fall on a bit. Two
+    texts differ in no more bits than in shingles."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount(text * bits + (_mixed(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=texts * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(texts, bits), axis=1).view("<i8")
+
+
+def _frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that several of about ``ORDER_ROWS`` texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, PART_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(2).to_pylist())[0].view(np.int64))], ["hash"])
+
+    texts = _texts(documents)
+    some = sampled(texts, ORDER_ROWS, documents.count(), seed=5, key="text_hash").dropDuplicates(["text_hash"])
+    found = some.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    hashes, counts = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
+    order = np.argsort(owner, kind="stable")
+    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=rows))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
+
+
 def _signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, words binary, keys array<long>) of each row; equal words have equal
-    ``words``."""
+    """(doc_id, text_hash, words binary, n int, keys array<long>, first array<long>, odd array<long>) of
+    each row; equal words have equal ``words``; n: different shingles."""
+    shared = documents.sparkSession.sparkContext.broadcast(_frequent(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, PART_ROWS):
             hashes, text, names = shingle_sets(batch.column(2).to_pylist())
-            keys, owner = class_keys(hashes, text, batch.num_rows)
-            order = np.argsort(owner, kind="stable")
-            offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), lists], ["doc_id", "text_hash", "words", "keys"])
+            keys = _lists(*class_keys(hashes, text, batch.num_rows), batch.num_rows)
+            first = _lists(*first_shingles(hashes, text, batch.num_rows, shared.value), batch.num_rows)
+            n = pa.array(np.bincount(text, minlength=batch.num_rows).astype(np.int32))
+            odd = pa.array(parities(hashes, text, batch.num_rows).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), n, keys, first, odd], ["doc_id", "text_hash", "words", "n", "keys", "first", "odd"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, text_hash long, words binary, keys array<long>")
+    return _texts(documents).mapInArrow(run, "doc_id long, text_hash long, words binary, n int, keys array<long>, first array<long>, odd array<long>")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -272,6 +331,60 @@ def _compared(keys: DataFrame) -> DataFrame:
     return pairs.select("p.*").where("a != b").distinct()
 
 
+def _shared_first(classes: DataFrame) -> DataFrame:
+    """(key, node, n) of those first shingles of ``classes`` (node, n, first) that several have."""
+    keys = classes.select("node", "n", F.explode("first").alias("key"))
+    several = written(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key"))
+    return keys.join(small(several), "key", "left_semi")
+
+
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared`` (key, node, n) with each node's root, for the keys that nodes of several roots have."""
+    rooted = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    return rooted.join(several, "key", "left_semi")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    return (a >= b * SIMILARITY - 1e-9) & (b >= a * SIMILARITY - 1e-9)
+
+
+def _with_pivots(met: DataFrame, pivots: int) -> DataFrame:
+    """Pairs (a, b), each once, of each key's nodes in ``met`` (key, node, n, root) with some nodes of
+    the key, where size and root allow it."""
+    ends = met.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", "root")) for i in range(pivots))).alias("ends"))
+    good = F.filter("ends", lambda x: (x.root != F.col("root")) & _alike(x.n, F.col("n")))
+    pairs = met.join(ends, "key").select("node", F.explode(F.array_distinct(F.transform(good, lambda x: x.node))).alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _unlinked(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b), each once, of ``met`` (key, node, n, root) that share a key, differ in their
+    roots and by size and parities can be similar."""
+    known = met.join(classes.select("node", "odd"), "node")
+    one, two = (known.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "n", "root", "odd"))) for side in "ab")
+    differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    few = differ <= (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    met_twice = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") < F.col("root_b")) & _alike(F.col("n_a"), F.col("n_b")) & few)
+    return met_twice.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _pairs_apart(met: DataFrame) -> tuple[int, int]:
+    """Rows of ``met``, and pairs of rows of a key and of different roots."""
+    of_key = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    found = of_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return int(found[0] or 0), int(found[1] or 0)
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of ``pairs`` of ``classes`` whose texts in ``documents`` are similar."""
+    wanted = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    bodies = scratch.written(_texts(documents).join(small(wanted), same).select("node", "text").dropDuplicates(["node"]))
+    left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return scratch.written(_similar(left.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")))
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, kept_id, kept_hash) for each different row of ``documents``
     (doc_id, text): the id and text hash of the row that stands for its group, the least of them,
@@ -279,20 +392,32 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
     Texts of the same words, case aside, are one class; classes of which ``SIMILARITY`` of the
     five-word shingles are common are linked, and a group is what links lead to. All texts without
-    words are one class. Null texts count as empty. Only counts reach the driver.
+    words are one class. Null texts count as empty. The driver gets counts, and those of the shingles
+    of about ``ORDER_ROWS`` texts.
     """
     with Scratch() as scratch:
         rows = scratch.written(_signatures(documents))
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-        classes = rows.groupBy("words").agg(F.min(place).alias("place"), F.first("keys").alias("keys"))
+        classes = rows.groupBy("words").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("odd").alias("odd"))
         classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()))
         pairs = scratch.written(_compared(classes.select("node", F.explode("keys").alias("key"))))
-        wanted = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-        bodies = scratch.written(_texts(documents).join(small(wanted), same).select("node", "text").dropDuplicates(["node"]))
-        left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        links = scratch.written(_similar(left.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")))
+        links = _linked(pairs, classes, documents, scratch)
         roots = scratch.written(connected_components(links))
+        shared = scratch.written(_shared_first(classes))
+        # a large group of near copies is tied by pairs with a few of it, before all others are listed
+        met = scratch.written(_apart(shared, roots))
+        for pivots in (*PIVOTS, None):
+            if pivots:
+                rows_met, apart = _pairs_apart(met)
+                if apart <= FEW_PAIRS * rows_met:
+                    continue
+            others = scratch.written((_with_pivots(met, pivots) if pivots else _unlinked(met, classes)).join(pairs, ["a", "b"], "left_anti"))
+            if not others.isEmpty():
+                links = links.unionAll(_linked(others, classes, documents, scratch))
+                pairs = pairs.unionAll(others)
+                roots = scratch.written(connected_components(links))
+                if pivots:
+                    met = scratch.written(_apart(shared, roots))
         members = roots.join(classes.select("node", "place"), "node")
         least = members.groupBy("root").agg(F.min("place").alias("kept"))
         linked = roots.join(least, "root").select("node", "kept")

@@ -127,6 +127,22 @@ def plain_groups(n, links):
     return [find(i) for i in range(n)]
 
 
+def test_near_groups_leave_no_pair_out(spark, rng):
+    shared = prose(rng, 30)
+    texts = []
+    for n in (6, 9, 10, 12, 15, 25, 60, 200) * 50:
+        words = prose(rng, n).split()
+        if rng.random() < 0.4:
+            words += shared.split()  # many texts meet by what they share and are not similar
+        texts += [words] + [edited(rng, words, rng.choice([0.01, 0.02, 0.035])) for _ in range(rng.choice([0, 1, 2]))]
+    rng.shuffle(texts)
+    rows = list(enumerate(map(" ".join, texts)))
+    sets = [shingles(t) for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    got = {r.doc_id: r.kept_id for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 60 and [got[i] for i in range(len(rows))] == plain_groups(len(rows), near)
+
+
 def test_a_large_group_of_near_copies_is_one(spark, rng):
     words = prose(rng, 150).split()
     rows = [(i, " ".join(edited(rng, words, 0.005))) for i in range(300)] + [(1000 + i, prose(rng, 80)) for i in range(50)]
