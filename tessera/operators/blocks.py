@@ -27,6 +27,8 @@ class Best:
 
     def __init__(self, query_ids: pa.Array, k: int) -> None:
         self.query_ids, self.k = query_ids, k
+        #: The k-th best score of each query when last pruned; 0 before it has so many.
+        self.least = np.zeros(len(query_ids))
         self.held: list[pa.RecordBatch] = []
         self.rows = 0
 
@@ -36,22 +38,28 @@ class Best:
         row, column = best_of(scores, self.k)
         hit = scores[row, column] >= 0
         row, column = row[hit], column[hit]
-        self.held.append(pa.RecordBatch.from_arrays([pa.array(row), doc_ids.take(pa.array(column)), pa.array(scores[row, column])], ["query", "doc_id", "score"]))
+        self.add_hits(row, doc_ids.take(pa.array(column)), scores[row, column])
+
+    def add_hits(self, row: np.ndarray, doc_ids: pa.Array, scores: np.ndarray) -> None:
+        """One document and score for each number of a query in ``row``."""
+        self.held.append(pa.RecordBatch.from_arrays([pa.array(row), doc_ids, pa.array(scores)], ["query", "doc_id", "score"]))
         self.rows += len(row)
         if self.rows > SLACK * self.k * len(self.query_ids):
-            self._prune()
+            self.prune()
 
-    def _prune(self) -> None:
+    def prune(self) -> None:
         rows = pa.Table.from_batches(self.held).sort_by([("query", "ascending"), ("score", "descending"), ("doc_id", "ascending")]).combine_chunks()
         query = rows.column("query").to_numpy()
         place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        last = place == self.k - 1
+        self.least[query[last]] = rows.column("score").to_numpy()[last]
         self.held = rows.filter(pa.array(place < self.k)).to_batches()
         self.rows = sum(x.num_rows for x in self.held)
 
     def batches(self) -> list[pa.RecordBatch]:
         if not self.rows:
             return []
-        self._prune()
+        self.prune()
         return [pa.RecordBatch.from_arrays([self.query_ids.take(x.column(0)), x.column(1), x.column(2)], ["query_id", "doc_id", "score"]) for x in self.held]
 
 

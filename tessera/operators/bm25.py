@@ -182,45 +182,90 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 #: Terms of queries, repeats among queries counted, that are sent to every task; more go in
 #: several passes, and one query's terms stay together.
-TERMS_AT_ONCE = 200_000
+TERMS_AT_ONCE = 3_000_000
+#: Queries that are scored at once.
 QUERIES_AT_ONCE = 2_000
+#: Terms that at least such a share of the queries have are weighed by a matrix product, so many at most.
+FREQUENT_SHARE, FREQUENT_TERMS = 0.01, 96
+#: Rounded scores that are equal differ by less before.
+ROUNDING = 1e-6
+
+
+class _Part:
+    """Some of a block's queries: the weights of frequent terms as a matrix, others by term."""
+
+    def __init__(self, query_ids: pa.Array, query: np.ndarray, term: np.ndarray, weight: np.ndarray, column: np.ndarray, frequent: int, k: int) -> None:
+        often = column[term] >= 0
+        self.matrix = np.zeros((len(query_ids), frequent))
+        self.matrix[query[often], column[term[often]]] = weight[often]
+        order = np.argsort(term[~often], kind="stable")
+        self.query, self.weight = query[~often][order], weight[~often][order]
+        self.first = np.searchsorted(term[~often][order], np.arange(len(column) + 1)).astype(np.int32)
+        self.best = Best(query_ids, k)
+
+    def add(self, doc_ids: pa.Array, dense: np.ndarray, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """Keeps the best of documents: the weights of frequent terms in ``dense``, a column for each
+        document, and those of other terms as (term, doc, weight)."""
+        n = len(doc_ids)
+        out = self.matrix @ dense
+        flat = out.reshape(-1)
+        of = self.first[term + 1] - self.first[term]
+        some = of > 0
+        term, doc, weight, of = term[some], doc[some], weight[some], of[some]
+        if len(of):
+            for a, b in zip(*_steps(np.cumsum(of), 4_000_000), strict=True):
+                each = of[a:b].astype(np.int64)
+                at = np.arange(each.sum()) + np.repeat(self.first[term[a:b]] - (np.cumsum(each) - each), each)
+                flat += np.bincount(self.query[at] * n + np.repeat(doc[a:b], each), self.weight[at] * np.repeat(weight[a:b], each), len(flat))
+        # what can't be among the best k any more is not looked at again
+        hit = out > np.maximum(self.best.least - ROUNDING, 0.0)[:, None]
+        if np.count_nonzero(hit) > 4 * self.best.k * len(out):
+            self.best.add(doc_ids, np.where(hit, np.round(out, 6), -1.0))
+            self.best.prune()
+        else:
+            row, column = np.nonzero(hit)
+            self.best.add_hits(row, doc_ids.take(pa.array(column)), np.round(out[row, column], 6))
 
 
 class _Block:
-    """Some queries' terms with their weights, and what scores batches of counted documents."""
+    """Queries' terms with their weights, and what scores batches of counted documents."""
 
-    def __init__(self, terms: pa.Table, avgdl: float) -> None:
+    def __init__(self, terms: pa.Table, avgdl: float, k: int) -> None:
         self.avgdl = avgdl
         encoded = terms.column("query_id").combine_chunks().dictionary_encode()
-        self.query_ids = encoded.dictionary
         words = terms.column("term").combine_chunks().dictionary_encode()
         self.vocabulary = words.dictionary
-        term = words.indices.to_numpy()
-        order = np.argsort(term, kind="stable")
-        self.query = encoded.indices.to_numpy()[order].astype(np.int64)
-        self.weight = terms.column("weight").to_numpy()[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
-
-    def scores(self, lengths: np.ndarray, counts: pa.Array) -> np.ndarray:
-        """A row for each query, a column for each document; -1 where no term is shared."""
+        query, term, weight = encoded.indices.to_numpy().astype(np.int64), words.indices.to_numpy(), terms.column("weight").to_numpy()
+        having = np.bincount(term, minlength=len(self.vocabulary))
+        often = np.flatnonzero(having >= max(2, FREQUENT_SHARE * len(encoded.dictionary)))
+        often = often[np.argsort(-having[often], kind="stable")][:FREQUENT_TERMS]
+        self.column = np.full(len(self.vocabulary), -1)
+        self.column[often] = np.arange(len(often))
+        self.frequent = len(often)
+        order = np.argsort(query, kind="stable")
+        query, term, weight = query[order], term[order], weight[order]
+        self.parts = []
+        for at in range(0, len(encoded.dictionary), QUERIES_AT_ONCE):
+            a, b = np.searchsorted(query, (at, at + QUERIES_AT_ONCE))
+            self.parts.append(_Part(encoded.dictionary.slice(at, QUERIES_AT_ONCE), query[a:b] - at, term[a:b], weight[a:b], self.column, self.frequent, k))
+
+    def add(self, doc_ids: pa.Array, lengths: np.ndarray, counts: pa.Array) -> None:
         n = len(lengths)
         entries = counts.flatten()
         term = pc.index_in(entries.field("term"), self.vocabulary)
         known = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
-        out = np.zeros(len(self.query_ids) * n)
-        if len(known):
-            term = term.take(pa.array(known)).to_numpy()
-            doc = np.repeat(np.arange(n), pc.list_value_length(counts).to_numpy(zero_copy_only=False))[known]
-            tf = entries.field("tf").to_numpy()[known]
-            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.avgdl))
-            of = self.first[term + 1] - self.first[term]
-            ends = np.cumsum(of)
-            for a, b in zip(*_steps(ends, 1_000_000), strict=True):
-                some = of[a:b]
-                at = np.arange(some.sum()) + np.repeat(self.first[term[a:b]] - (np.cumsum(some) - some), some)
-                out += np.bincount(self.query[at] * n + np.repeat(doc[a:b], some), self.weight[at] * np.repeat(weight[a:b], some), len(out))
-        out = out.reshape(-1, n)
-        return np.where(out > 0, np.round(out, 6), -1.0)
+        if not len(known):
+            return
+        term = term.take(pa.array(known)).to_numpy()
+        doc = np.repeat(np.arange(n), pc.list_value_length(counts).to_numpy(zero_copy_only=False))[known]
+        tf = entries.field("tf").to_numpy()[known]
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.avgdl))
+        often = self.column[term] >= 0
+        dense = np.zeros((self.frequent, n))
+        dense[self.column[term[often]], doc[often]] = weight[often]
+        term, doc, weight = term[~often], doc[~often], weight[~often]
+        for part in self.parts:
+            part.add(doc_ids, dense, term, doc, weight)
 
 
 def _steps(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +277,9 @@ def _steps(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of every query, ties by doc_id.
 
-    The corpus is tokenized once, into a table of counts. Blocks of queries are small enough to
-    send; a task scores its documents against a block and keeps the best k of each query, so that
-    no pair of query and document is shuffled but those.
+    The corpus is tokenized once, into a table of counts, and read once for each block of queries
+    that is small enough to send; a task scores its documents against a block and keeps the best k
+    of each query, so that no pair of query and document is shuffled but those.
     """
     spark = corpus.sparkSession
     schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("doc_id", corpus.schema["doc_id"].dataType).add("score", DoubleType())
@@ -245,8 +290,7 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         wanted = scratch.written(terms.select("term").distinct())
         frequencies = document_frequencies(rows.select(F.inline("counts")).join(small(wanted), "term", "left_semi"))
         weighted = written(terms.join(frequencies, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(stats["n"]), F.col("df"))).alias("weight")))
-    size = weighted.agg(F.count("*"), F.count_distinct("query_id")).first()
-    blocks = max(1, math.ceil(size[0] / TERMS_AT_ONCE), math.ceil(size[1] / QUERIES_AT_ONCE))
+    blocks = max(1, math.ceil(weighted.count() / TERMS_AT_ONCE))
     parts = []
     for i in range(blocks if k > 0 and stats["avgdl"] else 0):
         some = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else weighted
@@ -256,12 +300,12 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, avgdl=stats["avgdl"]) -> Iterator[pa.RecordBatch]:
             if not len(shared.value):
                 return
-            block = _Block(shared.value, avgdl)
-            kept = Best(block.query_ids, k)
+            block = _Block(shared.value, avgdl, k)
             for batch in batches:
                 for part in slices(batch):
-                    kept.add(part.column(0), block.scores(part.column(1).to_numpy(), part.column(2)))
-            yield from kept.batches()
+                    block.add(part.column(0), part.column(1).to_numpy(), part.column(2))
+            for part in block.parts:
+                yield from part.best.batches()
 
         parts.append(ranked_by_query(rows.select("doc_id", "dl", "counts").mapInArrow(run, schema), k))
     if not parts:
