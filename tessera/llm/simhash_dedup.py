@@ -57,7 +57,8 @@ ORDER_ROWS = 10_000
 #: first compared with so many of those that share it.
 FEW_PAIRS = 10
 PIVOTS = (2, 12)
-#: 64-bit words of the parities by which pairs are rejected before their texts are read.
+#: 64-bit words of the parities by which pairs are rejected as they meet; before their texts are read,
+#: those of long texts are compared in more bits.
 PARITY_WORDS = 8
 
 
@@ -263,6 +264,26 @@ def parities(hashes: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(texts, bits), axis=1).view("<i8")
 
 
+def long_parities(hashes: np.ndarray, text: np.ndarray, texts: int) -> list[bytes]:
+    """The same in twice as many bits as a text has shingles, or more: a power of two, at least as many
+    as ``parities`` has. Half as many bits are the exclusive or of both halves."""
+    n = np.bincount(text, minlength=texts)
+    bits = np.maximum(64 * PARITY_WORDS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    place = (_mixed(hashes) & (bits - 1).astype(np.uint64)[text]).astype(np.int64) + (ends - bits)[text]
+    odd = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [odd[(end - size) // 8 : end // 8] for end, size in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ of two texts' ``long_parities``."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):
+        x, y = sorted((x, y), key=len)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the shingles that several of about ``ORDER_ROWS`` texts have."""
 
@@ -285,8 +306,8 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def _signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, words binary, n int, keys array<long>, first array<long>, odd array<long>) of
-    each row; equal words have equal ``words``; n: different shingles."""
+    """(doc_id, text_hash, words binary, n int, keys array<long>, first array<long>, odd array<long>,
+    parity binary) of each row; equal words have equal ``words``; n: different shingles."""
     shared = documents.sparkSession.sparkContext.broadcast(_frequent(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +317,10 @@ def _signatures(documents: DataFrame) -> DataFrame:
             first = _lists(*first_shingles(hashes, text, batch.num_rows, shared.value), batch.num_rows)
             n = pa.array(np.bincount(text, minlength=batch.num_rows).astype(np.int32))
             odd = pa.array(parities(hashes, text, batch.num_rows).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), n, keys, first, odd], ["doc_id", "text_hash", "words", "n", "keys", "first", "odd"])
+            parity = pa.array(long_parities(hashes, text, batch.num_rows), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), n, keys, first, odd, parity], ["doc_id", "text_hash", "words", "n", "keys", "first", "odd", "parity"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, text_hash long, words binary, n int, keys array<long>, first array<long>, odd array<long>")
+    return _texts(documents).mapInArrow(run, "doc_id long, text_hash long, words binary, n int, keys array<long>, first array<long>, odd array<long>, parity binary")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -376,8 +398,24 @@ def _pairs_apart(met: DataFrame) -> tuple[int, int]:
     return int(found[0] or 0), int(found[1] or 0)
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) without those whose sizes or ``long_parities`` rule them out: a share of their
+    texts' bytes is read, and of long texts that only share a passage few are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            differ = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            good = (differ <= (a + b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6) & (np.minimum(a, b) >= np.maximum(a, b) * SIMILARITY - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of ``pairs`` of ``classes`` whose texts in ``documents`` are similar."""
+    pairs = scratch.written(_possible(pairs, classes))
     wanted = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     bodies = scratch.written(_texts(documents).join(small(wanted), same).select("node", "text").dropDuplicates(["node"]))
@@ -398,7 +436,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     with Scratch() as scratch:
         rows = scratch.written(_signatures(documents))
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-        classes = rows.groupBy("words").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("odd").alias("odd"))
+        classes = rows.groupBy("words").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.first("parity").alias("parity"))
         classes = scratch.written(classes.withColumn("node", F.monotonically_increasing_id()))
         pairs = scratch.written(_compared(classes.select("node", F.explode("keys").alias("key"))))
         links = _linked(pairs, classes, documents, scratch)
