@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,10 @@ def _hash_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return _mixed(both[:, 0] * _ODD[2] ^ both[:, 1] * _ODD[3])
 
 
+def _parts(view: memoryview, start: np.ndarray, stop: np.ndarray) -> Iterator[memoryview]:
+    return map(view.__getitem__, map(slice, start.tolist(), stop.tolist()))
+
+
 @dataclass
 class Lines:
     """Lines with content of texts that follow each other: the number of the text, the first byte,
@@ -162,7 +167,7 @@ class Lines:
         follows = np.append(text[1:] == text[:-1], False)[: len(text)]
         stop = np.where(follows, np.append(starts[1:], 0)[: len(starts)], bounds[text + 1])
         view = memoryview(data)
-        hashes = np.fromiter((line_hash(view[a:b]) for a, b in zip(starts.tolist(), content.tolist(), strict=True)), np.uint64, len(starts))
+        hashes = np.fromiter(map(line_hash, _parts(view, starts, content)), np.uint64, len(starts))
         return cls(text, starts, content, stop, hashes)
 
     def doubtful(self, data: np.ndarray) -> np.ndarray:
@@ -173,9 +178,9 @@ class Lines:
         size = self.content - self.start
         view = memoryview(data)
         differ = size[a] != size[b]
-        for i in np.flatnonzero(~differ).tolist():
-            x, y, n = int(self.start[a[i]]), int(self.start[b[i]]), int(size[a[i]])
-            differ[i] = view[x : x + n] != view[y : y + n]
+        same = np.flatnonzero(~differ)
+        one, other = (_parts(view, self.start[x[same]], self.content[x[same]]) for x in (a, b))
+        differ[same] = np.fromiter(map(ne, one, other), bool, len(same))
         return np.isin(self.hash, self.hash[a[differ]]) if differ.any() else np.zeros(len(self.hash), bool)
 
     def beside(self, line: np.ndarray, step: int) -> np.ndarray:
@@ -220,6 +225,20 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
+def _rows_differ(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the hashes from ``first`` to ``end`` are others than those from ``other`` to ``other_end``."""
+    size = end - first + 1
+    out = size != other_end - other + 1
+    alike = np.flatnonzero(~out)
+    size = size[alike]
+    starts = np.cumsum(size) - size
+    if len(alike):
+        inside = np.arange(int(size.sum())) - np.repeat(starts, size)
+        unequal = hashes[np.repeat(first[alike], size) + inside] != hashes[np.repeat(other[alike], size) + inside]
+        out[alike] = np.logical_or.reduceat(unequal, starts)
+    return out
+
+
 @dataclass
 class Chunks:
     """The chunks of a slice of texts, by text and place: first and last line, hash, and the first
@@ -247,10 +266,9 @@ class Chunks:
         origin = np.empty(len(first), np.int64)
         origin[by_hash] = by_hash[np.maximum.accumulate(np.where(same, 0, np.arange(len(first))))] if len(first) else by_hash
         later = np.flatnonzero(origin != np.arange(len(first)))
-        row = lambda i: lines.hash[first[i] : end[i] + 1].tobytes()
-        for i, j in zip(later.tolist(), origin[later].tolist(), strict=True):
-            if lines.text[first[i]] != lines.text[first[j]] or row(i) != row(j):
-                origin[i] = i
+        differ = lines.text[first[later]] != lines.text[first[origin[later]]]
+        differ |= _rows_differ(lines.hash, first[later], end[later], first[origin[later]], end[origin[later]])
+        origin[later[differ]] = later[differ]
         return cls(lines, first, end, hashes, origin)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
