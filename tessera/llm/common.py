@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator, MutableMapping
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.scratch import Scratch, new_path, remove, small, written, written_at
+from tessera.scratch import Scratch, in_few_files, new_path, remove, small, written, written_at
 
-__all__ = ["Scratch", "in_parts", "in_small_batches", "new_path", "numbered_copies", "remove", "sampled", "small", "table", "written", "written_at"]
+__all__ = ["Scratch", "in_few_files", "in_parts", "in_small_batches", "kept", "lean", "new_path", "numbered_copies", "remove", "sampled", "small", "spare", "table", "written", "written_at"]
 
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1_000
@@ -29,6 +32,45 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What a Python worker keeps from one task to the next, by the name of what it is for.
+kept: dict[str, MutableMapping] = {}
+
+
+@contextmanager
+def spare(keeps: str = "") -> Iterator[None]:
+    """For a task of a Python worker that has other stages' memory still: what is ``kept`` for
+    another purpose is forgotten, and free memory goes back to the system before and after."""
+    for name, x in kept.items():
+        if name != keeps:
+            x.clear()
+    _give_back()
+    try:
+        yield
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(keeps: str = "") -> Callable:
+    """A function of batches for ``mapInArrow``, run within ``spare``."""
+
+    def of(run: Callable) -> Callable:
+        @wraps(run)
+        def leanly(batches: Iterator) -> Iterator:
+            with spare(keeps):
+                yield from run(batches)
+
+        return leanly
+
+    return of
+
+
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small, written
+from tessera.llm.common import Scratch, in_few_files, small, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -55,28 +55,31 @@ def simhash(hashes: Column) -> Column:
 
 
 def _majority(hashes: Column, width: int) -> Column:
-    """Bits that over half of the hashes have; counts fit into lanes of ``width`` - 1 bits."""
+    """Bits that over half of the hashes have; counts fit into lanes of ``width`` - 1 bits.
+
+    The places are an array, too: written out one by one they would be an expression of a hundred
+    aggregates, of which every task writes and compiles the code anew.
+    """
     lanes = [i * width for i in range(64 // width)]
     ones, top = sum(1 << x for x in lanes), lanes[-1]
+    below = (1 << top) - 1
     half = F.floor(F.size(hashes) / 2).cast("long")
-    out = F.lit(0).cast("long")
-    for j in range(width):
-        sums = F.aggregate(hashes, F.lit(0).cast("long"), _adding(j, ones))
-        # the greatest lane alone could reach the sign; in the others a carry to the highest bit tells
-        out = out.bitwiseOR(F.when(_shift_right(sums, F.lit(top)) > half, F.lit(_signed(1 << (top + j)))).otherwise(F.lit(0).cast("long")))
-        if top:
-            low = sums.bitwiseAND(F.lit((1 << top) - 1)) + (F.lit((1 << width - 1) - 1) - half) * F.lit(ones & (1 << top) - 1)
-            carries = _shift_right(low, F.lit(width - 1)).bitwiseAND(F.lit(ones & (1 << top) - 1))
-            out = out.bitwiseOR(_call("shiftleft", carries, F.lit(j)))
-    return out
 
+    def voted(sums: Column, j: Column) -> Column:
+        # the greatest lane alone could reach the sign; in the others a carry to the highest bit tells
+        highest = F.when(_shift_right(sums, F.lit(top)) > half, _call("shiftleft", F.lit(1).cast("long"), j + top)).otherwise(F.lit(0).cast("long"))
+        if not top:
+            return highest
+        low = sums.bitwiseAND(F.lit(below)) + (F.lit((1 << width - 1) - 1) - half) * F.lit(ones & below)
+        carries = _shift_right(low, F.lit(width - 1)).bitwiseAND(F.lit(ones & below))
+        return highest.bitwiseOR(_call("shiftleft", carries, j))
 
-def _adding(shift: int, ones: int):
-    return lambda acc, h: acc + _shift_right(h, F.lit(shift)).bitwiseAND(F.lit(ones))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(hashes, F.lit(0).cast("long"), _adding(j, ones)))
+    return F.aggregate(F.transform(counted, voted), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def _adding(shift: Column, ones: int):
+    return lambda acc, h: acc + _shift_right(h, shift).bitwiseAND(F.lit(ones))
 
 
 def _call(name: str, *args: Column) -> Column:
@@ -140,7 +143,7 @@ def _stretches(texts: DataFrame, hits: DataFrame) -> DataFrame:
     windows = starts.groupBy("doc_id", "text_hash", "k", F.floor(F.col("start") / STRETCH).alias("stretch")).agg(F.collect_set(F.struct("n", "start")).alias("windows"))
     windows = windows.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    found = _once(texts.join(small(written(windows)), same), "words", words_of("text"))
+    found = _once(texts.join(small(written(in_few_files(windows))), same), "words", words_of("text"))
     longest = F.array_max(F.transform("windows", lambda w: w["n"]))
     first = (F.col("stretch") * STRETCH).cast("int")
     return found.select("doc_id", "text_hash", "k", first.alias("first"), F.slice("words", first + 1, STRETCH + longest).alias("words"), "windows").distinct()
@@ -199,12 +202,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not widths:
         return documents.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, n_words int, similarity double")
     with Scratch() as scratch:
-        anchors = scratch.written(_anchors(items))
-        stretches = scratch.written(_stretches(texts, scratch.written(_hits(texts, widths, anchors).distinct())))
+        anchors = scratch.written(in_few_files(_anchors(items)))
+        stretches = scratch.written(_stretches(texts, scratch.written(in_few_files(_hits(texts, widths, anchors).distinct()))))
         found = [_matches(_windows(stretches, k), items.where(F.col("k") == k), k) for k in widths]
         best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "item_id")
         best = best.agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("x"))
-        return written(best.select("doc_id", "text_hash", "item_id", "x.*"))
+        return written(in_few_files(best.select("doc_id", "text_hash", "item_id", "x.*")))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,6 +16,10 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 24_000_000
 
 
+#: Files of a table of short rows, for each core.
+FILES_A_CORE = 4
+
+
 class NoSharedFolder(RuntimeError):
     """A cluster's session names no folder that the driver and all executors see."""
 
@@ -55,6 +59,15 @@ def written(df: DataFrame) -> DataFrame:
     return written_at(df)[0]
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """``df``, the end of a shuffle of rows of a few numbers, for a table of a few files a core.
+
+    Without Hadoop's native library each file that is written starts several processes (chmod),
+    which share the executor's memory until they run.
+    """
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """Tables that are written on the way to a result and removed with the ``with`` block. The
     result itself is written by ``written`` and stays."""
