@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remove, written_at
+from tessera.llm.common import in_few_files, remove, written_at
 
 
 def _star(pairs: DataFrame, larger_only: bool) -> tuple[DataFrame, list[str]]:
@@ -14,13 +14,13 @@ def _star(pairs: DataFrame, larger_only: bool) -> tuple[DataFrame, list[str]]:
     The minima are written first, so that the join has plain exchanges on both sides: the planner
     broadcasts a small side and splits the partitions of a node with very many neighbours.
     """
-    least, path = written_at(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")))
+    least, path = written_at(in_few_files(pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))))
     tied = pairs.join(least, "node")
     if larger_only:
         tied = tied.where("other > node").select(F.col("other").alias("a"), F.col("least").alias("b"))
     else:
         tied = tied.select(F.explode(F.array("node", "other")).alias("a"), F.col("least").alias("b"))
-    edges, out = written_at(tied.where("a != b").distinct())
+    edges, out = written_at(in_few_files(tied.where("a != b").distinct()))
     remove(pairs.sparkSession, path)
     return edges, out
 
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges, path = written_at(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        in_few_files(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     )
     seen = None
     while True:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import Scratch, in_small_batches, small, written
+from tessera.llm.common import Scratch, in_small_batches, lean, small, written
 from tessera.llm.hash_filter import filter_of, passes
 
 LEAST_LINES = 3
@@ -299,6 +299,7 @@ def merged(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def _chunk_hashes(rows: DataFrame, line_hash: Callable[[bytes], int]) -> DataFrame:
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in _slices(batch.column(2)):
@@ -328,6 +329,7 @@ def _found(rows: DataFrame, bits: bytes | None, line_hash: Callable[[bytes], int
     """``FOUND`` of the chunks whose hash passes the filter, and of all that texts repeat of themselves."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = None if shared.value is None else np.frombuffer(shared.value, np.uint8)
         for batch in batches:
@@ -408,6 +410,7 @@ def repeated_chunks(documents: DataFrame, line_hash: Callable[[bytes], int] = xx
 def _removals(repeated: DataFrame) -> DataFrame:
     """(_id, _hash, _cuts array<struct<start, stop>>): what goes from each document that loses anything."""
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(2)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_small_batches, numbered_copies, small, written
+from tessera.llm.common import in_small_batches, lean, numbered_copies, small, spare, written
 from tessera.llm.tokens import MEMO_ENTRIES, encoder
 
 BLOCK_EXAMPLES = 3_000
@@ -108,16 +108,17 @@ def place(tokens: list[int], bearing: list[np.ndarray | None], limits: Limits) -
     return pieces
 
 
-def pack(examples: DataFrame, blocks: int, limits: Limits = Limits()) -> DataFrame:
+def pack(examples: DataFrame, blocks: int, limits: Limits = Limits(), forgets: bool = False) -> DataFrame:
     """Pieces (``PACKED``) of ``examples`` (block long, example_id long, part long, ids binary of
     little-endian numbers of ``width`` bytes, width int, bearing binary), block being below ``blocks``.
 
     ``bearing``: a byte for each token, not 0 if it bears loss; null if all do. Examples without
     tokens give no piece. sequence_id: the block, then the bin's number in it; offsets in a
     sequence have no gap; ``ids`` of a piece are little-endian uint32, ``loss`` of them bear loss.
+    ``forgets``: workers that encoded drop their encoders first.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
+    def packed(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
         names, parts = rows.column("example_id").to_pylist(), rows.column("part").to_pylist()
         order = sorted(range(len(rows)), key=lambda i: (names[i] is None, names[i] or 0, parts[i] is None, parts[i] or 0))
@@ -140,6 +141,10 @@ def pack(examples: DataFrame, blocks: int, limits: Limits = Limits()) -> DataFra
             }
         )
 
+    def run(rows: pa.Table) -> pa.Table:
+        with spare("" if forgets else "tokens"):
+            return packed(rows)
+
     partitions = min(blocks, MOST_PARTITIONS)
     dealt = examples.withColumn("partition", F.pmod("block", F.lit(partitions)).cast("int")).repartitionById(partitions, "partition")
     return dealt.groupBy("partition", "block").applyInArrow(run, PACKED)
@@ -156,13 +161,15 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
     A null text counts as empty: its document is the end id alone. Null ids, repeated rows and
     ties keep a piece each, and very many equal rows are dealt over the blocks; very long documents
     are cut; an empty table gives no piece; other columns are ignored. Every token bears loss.
-    ``memo_entries``: words that a Python worker remembers.
+    ``memo_entries``: words that a Python worker remembers; where that is fewer than usual, it
+    forgets its encoder before it packs.
     """
     rows = in_small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     n = blocks_for(rows)
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "copy"), F.lit(n))
     dealt = numbered_copies(rows).select(block.alias("block"), F.col("doc_id").alias("example_id"), "text")
 
+    @lean("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, entries=memo_entries)
         end = np.array([end_id], encode.dtype).tobytes()
@@ -172,7 +179,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
             nothing = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nothing[0], pa.array(ids, pa.binary()), width, nothing[1]], EXAMPLES)
 
-    return pack(dealt.mapInArrow(run, EXAMPLE_TYPES), n, limits)
+    return pack(dealt.mapInArrow(run, EXAMPLE_TYPES), n, limits, forgets=memo_entries < MEMO_ENTRIES)
 
 
 EXAMPLES = ["block", "example_id", "part", "ids", "width", "bearing"]
@@ -213,6 +220,7 @@ def pack_conversations(conversations: DataFrame, tokenizer: str, end_id: int = 0
     texts, roles = F.transform("turns", lambda t: t["text"]), F.transform("turns", lambda t: F.coalesce(t["role"] == bears_loss, F.lit(False)))
     dealt = examples.select(block.alias("block"), "conv_id", "part", texts.alias("texts"), roles.alias("bears"))
 
+    @lean("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()

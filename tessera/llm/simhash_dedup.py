@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tessera.llm.common import Scratch, in_parts, in_small_batches, sampled, small, written
+from tessera.llm.common import Scratch, in_parts, in_small_batches, kept, lean, sampled, small, written
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -171,7 +171,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_word_hashes = _WordHashes()
+_word_hashes = kept["words"] = _WordHashes()
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -287,6 +287,7 @@ def differing(a: bytes, b: bytes) -> int:
 def _frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the shingles that several of about ``ORDER_ROWS`` texts have."""
 
+    @lean("words")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, PART_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(2).to_pylist())[0].view(np.int64))], ["hash"])
@@ -310,6 +311,7 @@ def _signatures(documents: DataFrame) -> DataFrame:
     parity binary) of each row; equal words have equal ``words``; n: different shingles."""
     shared = documents.sparkSession.sparkContext.broadcast(_frequent(documents))
 
+    @lean("words")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, PART_ROWS):
             hashes, text, names = shingle_sets(batch.column(2).to_pylist())
@@ -330,6 +332,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame) -> DataFrame:
     """(a, b) of ``pairs`` (a, b, text_a, text_b) whose shingles are similar."""
 
+    @lean("words")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, PART_ROWS):
             n = batch.num_rows
@@ -402,6 +405,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """``pairs`` (a, b) without those whose sizes or ``long_parities`` rule them out: a share of their
     texts' bytes is read, and of long texts that only share a passage few are left."""
 
+    @lean("words")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))

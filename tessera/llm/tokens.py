@@ -10,6 +10,8 @@ from itertools import chain
 
 import numpy as np
 
+from tessera.llm.common import kept
+
 #: The characters with Unicode's White_Space property, which pre-tokenizers' \s means.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: ASCII punctuation and the letters of ASCII and Latin-1: between them, too, a pre-token ends.
@@ -25,7 +27,7 @@ _spare = iter(range(256, 512))
 #: How byte-level tokenizers write each byte: printable ones as themselves, the others from U+0100 on.
 BYTE_LETTERS = [chr(b if b in _plain_bytes else next(_spare)) for b in range(256)]
 
-_encoders: dict[tuple[str, bool, int], MemoEncoder] = {}
+_encoders: dict[tuple[str, bool, int], MemoEncoder] = kept.setdefault("tokens", {})
 
 
 def _steps(path: str, part: str) -> list[dict]:

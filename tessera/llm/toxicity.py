@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tessera.llm.common import Scratch, in_small_batches, sampled
+from tessera.llm.common import Scratch, in_small_batches, lean, sampled, spare
 
 #: Labelled documents that training reads at most, about; the others' labels are not used.
 TRAINING_ROWS = 12_000
@@ -234,6 +234,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     found = in_small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     training = found.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"), F.first(F.array(*ys)).alias("y"))
 
+    @lean()
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(text_features(x)) for x in batch.column(1).to_pylist()]
@@ -251,6 +252,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
         best = of.where(f"n >= 5 and n < {n}").select("feature", (n * chi).alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(features).collect()
         dictionary = {r["feature"]: i for i, r in enumerate(best)}
 
+        @lean()
         def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = [sorted(i for x in found if (i := dictionary.get(x)) is not None) for found in batch.column(2).to_pylist()]
@@ -276,6 +278,7 @@ def score(documents: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
     """
     names = [f"p_{x}" for x in chain.names]
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.array([chain.probabilities(x) for x in batch.column(1).to_pylist()]).reshape(-1, len(names))
@@ -289,8 +292,10 @@ def is_toxic(chain: Chain, threshold: float = 0.5):
     """A vectorised function of a text column: whether the chain's last category reaches the threshold."""
 
     @pandas_udf("boolean")
-    def toxic(text: pd.Series) -> pd.Series:
-        return pd.Series([chain.probabilities(x)[-1] >= threshold for x in text], dtype=bool)
+    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with spare():
+            for text in texts:
+                yield pd.Series([chain.probabilities(x)[-1] >= threshold for x in text], dtype=bool)
 
     return toxic
 
